@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["graph"]
+MODULES = ["graph", "functions", "plans"]
 
 
 def load() -> None:

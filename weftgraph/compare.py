@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -16,13 +18,17 @@ def duck_connection(duckdb, sf_dir: str):
     return con
 
 
+def _null(value) -> bool:
+    return value is None or value is pd.NA or (isinstance(value, float) and value != value)
+
+
 def _kind(series) -> str:
-    values = [v for v in series if v is not None and v == v]
+    values = [v for v in series if not _null(v)]
     return type(values[0]).__name__.replace("_", "") if values else "null"
 
 
 def _text(value) -> str:
-    if value is None or value != value:
+    if _null(value):
         return "∅"
     if isinstance(value, float) and value.is_integer():
         return str(int(value))

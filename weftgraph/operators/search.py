@@ -29,31 +29,54 @@ def _grams(text: Column, size: int) -> Column:
     )
 
 
-def search_matches(nodes: DataFrame, requests: DataFrame) -> DataFrame:
+FEW_QUERIES = 256
+
+
+def search_matches(nodes: DataFrame, requests: DataFrame,
+                   few: int = FEW_QUERIES) -> DataFrame:
     """(q, node) matches for distinct normalized queries: q is a substring of a field.
 
-    Each query contributes one probe gram (its first three characters, or all of a shorter one),
-    each function the grams of its three fields; the equi-join on grams finds candidates and
-    ``contains`` verifies them.  A gram size nobody asks for has an empty side, which adaptive
-    execution drops.  The empty query matches every function and joins on the scope alone.
+    A counted handful of queries travels as one array per snapshot, so each function is tested in
+    one scan without a shuffle.  More queries than that meet the functions through grams.
     """
     functions = nodes.filter(F.col("kind") == "function")
     asked = requests.select(*SCOPE, normalize_query(F.col("q")).alias("q")).distinct()
-    fields = [F.lower(F.coalesce(F.col(c), F.lit("")))
-              for c in ("name", "qualified_name", "file_path")]
+    if asked.limit(few + 1).count() > few:
+        return _matches_by_gram(functions, asked)
+    name, qualified, path = _search_fields()
+    per_scope = asked.groupBy(*SCOPE).agg(F.collect_list("q").alias("qs"))
+    hits = F.filter(
+        "qs", lambda q: name.contains(q) | qualified.contains(q) | path.contains(q)
+    )
+    return functions.join(per_scope, SCOPE).withColumn("q", F.explode(hits)).drop("qs")
+
+
+def _search_fields() -> list[Column]:
+    return [F.lower(F.coalesce(F.col(c), F.lit("")))
+            for c in ("name", "qualified_name", "file_path")]
+
+
+def _matches_by_gram(functions: DataFrame, asked: DataFrame) -> DataFrame:
+    """Equi-join on a probe gram, verified by ``contains``.
+
+    Each query contributes its first three characters (or all of a shorter query), each function
+    the grams of its fields.  A gram size nobody asks for has an empty side, which adaptive
+    execution drops.  The empty query matches every function and joins on the scope alone.
+    """
+    fields = _search_fields()
     hit = fields[0].contains(F.col("q")) | fields[1].contains(F.col("q")) | fields[2].contains(
         F.col("q")
     )
     text = F.concat_ws("\n", *fields)
-    found = None
+    found = functions.join(asked.filter(F.col("q") == ""), SCOPE)
     for size in (1, 2, 3):
         long_enough = F.length("q") >= 3 if size == 3 else F.length("q") == size
         probes = asked.filter(long_enough).withColumn("gram", F.substring("q", 1, size))
         grams = functions.withColumn("gram", F.explode(_grams(text, size)))
-        part = grams.join(probes, [*SCOPE, "gram"]).filter(hit).drop("gram")
-        found = part if found is None else found.unionByName(part)
-    everything = functions.join(asked.filter(F.col("q") == ""), SCOPE)
-    return found.unionByName(everything)
+        found = found.unionByName(
+            grams.join(probes, [*SCOPE, "gram"]).filter(hit).drop("gram")
+        )
+    return found
 
 
 def search_functions(nodes: DataFrame, requests: DataFrame, offset: int = 0,
