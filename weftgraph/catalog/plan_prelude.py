@@ -96,3 +96,163 @@ FORBIDS = """({t} = {p}.region OR starts_with({t}, {p}.region || '/') OR {t} = '
 
 def forbids(target: str, pol: str = "p") -> str:
     return FORBIDS.format(t=target, p=pol)
+
+
+VERIFY_CTES = r"""
+cn AS MATERIALIZED (SELECT * FROM nodes WHERE snapshot_id = 'cur'),
+cr AS MATERIALIZED (SELECT * FROM relations WHERE snapshot_id = 'cur'),
+adds AS MATERIALIZED (SELECT plan_id, temp_id AS id, arg_max(name, op_index) AS name,
+    arg_max(path, op_index) AS path, arg_max({'l': language}, op_index).l AS language
+  FROM normops WHERE kind = 'add_function' GROUP BY 1, 2),
+gaps AS MATERIALIZED (
+  SELECT file_path AS path, 'unavailable' AS source FROM files0 WHERE parent_id = 'folder:n0'
+  UNION SELECT dir, 'excluded' FROM dirs WHERE n_nationkey = 7
+  UNION SELECT f.file_path, 'diagnostic' FROM files0 f JOIN supplier s
+    ON f.id = 'file:s' || s_suppkey WHERE s_acctbal < 0),
+gaps2 AS MATERIALIZED (SELECT *, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts'
+  THEN 'javascript' ELSE 'unknown' END AS family FROM gaps),
+vrefs AS MATERIALIZED (
+  SELECT plan_id, temp_id AS id, true AS enforce, false AS removing FROM ops
+    WHERE kind = 'add_function'
+  UNION SELECT plan_id, node_id, true, false FROM ops WHERE kind = 'move_function'
+  UNION SELECT plan_id, node_id, false, false FROM ops WHERE kind = 'move_function'
+  UNION SELECT plan_id, node_id, false, true FROM ops WHERE kind = 'remove_function'
+  UNION SELECT plan_id, source_id, true, false FROM ops WHERE kind = 'add_relation'
+  UNION SELECT plan_id, target_id, true, false FROM ops WHERE kind = 'add_relation'
+  UNION SELECT plan_id, r.source_id, false, false FROM ops o JOIN br r ON r.id = o.relation_id
+    WHERE o.kind = 'remove_relation'
+  UNION SELECT plan_id, r.target_id, false, false FROM ops o JOIN br r ON r.id = o.relation_id
+    WHERE o.kind = 'remove_relation' AND r.target_id IS NOT NULL),
+labels_ AS (SELECT id, file_path, name AS label, language FROM cn WHERE kind = 'function'
+  UNION SELECT id, file_path, qualified_name, language FROM cn WHERE kind = 'function'),
+ba AS (SELECT r.*, coalesce(CASE WHEN r.enforce THEN m.path END, a.path) AS path, a.name,
+    a.language FROM vrefs r JOIN adds a ON a.plan_id = r.plan_id AND a.id = r.id
+  LEFT JOIN moved m ON m.plan_id = r.plan_id AND m.id = r.id),
+bb AS (SELECT r.*, n.kind, coalesce(n.qualified_name, n.name) AS symbol,
+    coalesce(n.language, '') AS lang, n.file_path, n.id IS NOT NULL AS known,
+    CASE WHEN r.enforce THEN m.path END AS to_path
+  FROM vrefs r LEFT JOIN bn n ON n.id = r.id LEFT JOIN moved m ON m.plan_id = r.plan_id
+    AND m.id = r.id WHERE NOT EXISTS (SELECT 1 FROM adds a WHERE a.plan_id = r.plan_id
+    AND a.id = r.id)),
+hits AS (
+  SELECT plan_id, ba.id, enforce, removing, path, false AS search_all, true AS known,
+    l.id AS found_id
+  FROM ba LEFT JOIN labels_ l ON l.file_path = ba.path AND l.label = ba.name
+    AND (ba.language IS NULL OR ba.language = l.language)
+  UNION ALL SELECT plan_id, b.id, enforce, removing, to_path, false, true, c.id FROM bb b
+    LEFT JOIN cn c ON c.kind = b.kind AND coalesce(c.qualified_name, c.name) = b.symbol
+      AND coalesce(c.language, '') = b.lang AND c.file_path = b.to_path
+    WHERE known AND to_path IS NOT NULL
+  UNION ALL SELECT plan_id, b.id, enforce, removing, b.file_path, x.id IS NULL, true,
+      coalesce(x.id, c.id)
+    FROM bb b LEFT JOIN cn x ON x.id = b.id
+    LEFT JOIN cn c ON x.id IS NULL AND c.kind = b.kind
+      AND coalesce(c.qualified_name, c.name) = b.symbol AND coalesce(c.language, '') = b.lang
+    WHERE known AND to_path IS NULL
+  UNION ALL SELECT plan_id, id, enforce, removing, NULL, false, false, NULL FROM bb
+    WHERE NOT known),
+grouped AS MATERIALIZED (SELECT plan_id, id, enforce, removing, coalesce(path, '') AS path,
+    search_all, known, count(DISTINCT found_id) AS n, min(found_id) AS found_id
+  FROM hits GROUP BY ALL),
+pairs AS (SELECT DISTINCT path, search_all FROM grouped UNION
+  SELECT DISTINCT coalesce(a.path, n.file_path), false FROM ops o
+    LEFT JOIN adds a ON a.plan_id = o.plan_id AND a.id = o.node_id
+    LEFT JOIN bn n ON n.id = o.node_id WHERE o.kind = 'move_function'),
+fam AS (SELECT *, CASE WHEN path LIKE '%.py' THEN 'python' WHEN path LIKE '%.ts'
+  THEN 'javascript' ELSE 'unknown' END AS family FROM pairs WHERE path IS NOT NULL),
+inc AS MATERIALIZED (SELECT f.path, f.search_all,
+    bool_or(f.path = g.path OR starts_with(f.path, g.path || '/')
+      OR (f.search_all AND f.path <> '' AND g.source = 'unavailable'
+          AND (g.family = 'unknown' OR g.family = f.family))
+      OR (f.search_all AND f.path <> '' AND g.source = 'diagnostic'
+          AND (g.family = 'unknown' OR f.family = 'unknown' OR g.family = f.family)))
+    AS incomplete FROM fam f, gaps2 g GROUP BY 1, 2),
+bound AS MATERIALIZED (SELECT g.plan_id, g.id, enforce, removing, n, g.found_id,
+    c.kind AS found_kind,
+    coalesce(c.file_path, c.name) || ':' || coalesce(c.start_line, 1) AS found_at,
+    NOT known OR n > 1 OR (g.search_all AND n > 0 AND NOT removing)
+      OR coalesce(incomplete, false) AS uncertain
+  FROM grouped g LEFT JOIN inc i ON i.path = g.path AND i.search_all = g.search_all
+  LEFT JOIN cn c ON c.id = g.found_id),
+be AS (SELECT * FROM bound WHERE enforce AND NOT removing),
+bo AS (SELECT * FROM bound WHERE NOT enforce AND NOT removing),
+v_add AS (SELECT o.plan_id, o.op_index, CASE WHEN uncertain THEN 'unknown' WHEN n > 0
+    THEN 'satisfied' ELSE 'unmet' END AS status, CASE WHEN uncertain
+    THEN 'Function binding or analysis is ambiguous.' WHEN n > 0
+    THEN 'Planned function exists at the target path.' ELSE 'Planned function was not found.' END
+    AS message, CASE WHEN NOT uncertain AND n > 0 THEN found_at END AS evidence
+  FROM ops o JOIN be b ON b.plan_id = o.plan_id AND b.id = o.temp_id
+  WHERE o.kind = 'add_function'),
+mv0 AS (SELECT o.plan_id, o.op_index, t.uncertain, t.n, t.found_at, q.n AS old_n,
+    a.id IS NOT NULL AS was_added, coalesce(a.path, n.file_path) AS opath, o.path AS npath,
+    c.id IS NOT NULL AND n.id IS NOT NULL AS still
+  FROM normops o JOIN be t ON t.plan_id = o.plan_id AND t.id = o.node_id
+  JOIN bo q ON q.plan_id = o.plan_id AND q.id = o.node_id
+  LEFT JOIN adds a ON a.plan_id = o.plan_id AND a.id = o.node_id
+  LEFT JOIN bn n ON n.id = o.node_id LEFT JOIN cn c ON c.id = o.node_id
+  WHERE o.kind = 'move_function'),
+mv1 AS (SELECT m.*, opath IS DISTINCT FROM npath AS changed, coalesce(i.incomplete, false) AS hid
+  FROM mv0 m LEFT JOIN inc i ON i.path = m.opath AND NOT i.search_all),
+mv2 AS (SELECT *, changed AND CASE WHEN was_added THEN old_n > 0 ELSE still END AS old,
+  uncertain OR (changed AND hid) AS unk FROM mv1),
+v_move AS (SELECT plan_id, op_index, CASE WHEN unk THEN 'unknown' WHEN n > 0 AND NOT old
+    THEN 'satisfied' ELSE 'unmet' END AS status, CASE WHEN unk
+    THEN 'Moved function binding or analysis is ambiguous.' WHEN n > 0 AND NOT old
+    THEN 'Function is located at the planned destination.'
+    ELSE 'The required move was not established.' END AS message,
+    CASE WHEN NOT unk THEN found_at END AS evidence FROM mv2),
+v_remove AS (SELECT o.plan_id, o.op_index, CASE WHEN uncertain THEN 'unknown' WHEN n > 0
+    THEN 'unmet' ELSE 'satisfied' END AS status, CASE WHEN uncertain
+    THEN 'Symbol binding or analysis cannot establish removal.' WHEN n > 0
+    THEN 'The function still exists.' ELSE 'The function is absent from indexed source.' END
+    AS message, CASE WHEN NOT uncertain THEN found_at END AS evidence
+  FROM ops o JOIN bound b ON b.plan_id = o.plan_id AND b.id = o.node_id AND removing
+  WHERE o.kind = 'remove_function'),
+rc0 AS (SELECT plan_id, op_index, source_id AS fid, target_id AS tid, 'calls' AS rtype,
+    'resolved' AS bres, false AS rem FROM ops WHERE kind = 'add_relation'
+  UNION ALL SELECT o.plan_id, o.op_index, r.source_id, r.target_id, r.type, r.resolution, true
+    FROM ops o LEFT JOIN br r ON r.id = o.relation_id WHERE o.kind = 'remove_relation'),
+rc1 AS (SELECT r.*, s.n AS sn, s.uncertain AS su, s.found_id AS sid, s.found_at AS sat,
+    t.n AS tn, t.uncertain AS tu, t.found_id AS tgt, t.found_kind AS tk
+  FROM rc0 r LEFT JOIN bound s ON s.plan_id = r.plan_id AND s.id = r.fid
+    AND s.enforce = (NOT rem) AND NOT s.removing
+  LEFT JOIN bound t ON t.plan_id = r.plan_id AND t.id = r.tid AND t.enforce = (NOT rem)
+    AND NOT t.removing),
+evi AS (SELECT source_id, target_id, type, resolution, evidence_path || ':' || evidence_line ||
+    ' ' || evidence_text AS t FROM cr),
+f1 AS (SELECT source_id, target_id, type, count(*) FILTER (WHERE resolution = 'resolved') AS rn,
+    count(*) FILTER (WHERE resolution = 'external') AS en,
+    min(t) FILTER (WHERE resolution <> 'unresolved') AS ft FROM evi
+  WHERE target_id IS NOT NULL GROUP BY 1, 2, 3),
+f2 AS (SELECT source_id, type, min(t) AS ot FROM evi WHERE resolution = 'unresolved'
+  GROUP BY 1, 2),
+rc2 AS (SELECT r.*, coalesce(rn, 0) + CASE WHEN tk = 'external' THEN coalesce(en, 0) ELSE 0 END
+    AS fnd, ft, ot
+  FROM rc1 r LEFT JOIN f1 ON f1.source_id = sid AND f1.target_id = tgt AND f1.type = rtype
+  LEFT JOIN f2 ON f2.source_id = sid AND f2.type = rtype),
+rc3 AS (SELECT *, CASE WHEN rem AND (tid IS NULL OR coalesce(bres, 'unresolved') = 'unresolved')
+    THEN 0 WHEN su OR tu THEN 1 WHEN sn = 0 OR tn = 0 THEN 2 WHEN fnd > 0 THEN 3
+    WHEN ot IS NOT NULL THEN 4 ELSE 5 END AS step FROM rc2),
+v_relation AS (SELECT plan_id, op_index, CASE WHEN step IN (0, 1, 4) THEN 'unknown'
+    WHEN (step = 3) <> rem THEN 'satisfied' ELSE 'unmet' END AS status,
+    CASE step WHEN 0 THEN 'The baseline relation has unresolved endpoints.'
+      WHEN 1 THEN 'Symbol binding or analysis is ambiguous.'
+      WHEN 2 THEN 'A required endpoint is absent from the current indexed source.'
+      WHEN 3 THEN CASE WHEN rem THEN 'The original relation still exists.'
+        ELSE 'The required relation exists.' END
+      WHEN 4 THEN 'Dynamic or unresolved relations prevent a definitive absence check.'
+      ELSE CASE WHEN rem THEN 'The original relation is absent.'
+        ELSE 'No direct call to the required target was found.' END END AS message,
+    CASE step WHEN 3 THEN ft WHEN 4 THEN ot WHEN 5 THEN sat END AS evidence FROM rc3),
+v_annotate AS (SELECT plan_id, op_index, 'unknown' AS status,
+    'Annotation semantics require human review.' AS message, CAST(NULL AS VARCHAR) AS evidence
+  FROM ops WHERE kind = 'annotate'),
+report AS (SELECT * FROM v_add UNION ALL SELECT * FROM v_move UNION ALL SELECT * FROM v_remove
+  UNION ALL SELECT * FROM v_relation UNION ALL SELECT * FROM v_annotate)
+"""
+
+
+def with_verify(body: str) -> str:
+    text = body.strip()
+    sep = "\n" if text[:6].upper() == "SELECT" else ",\n"
+    return with_plans(VERIFY_CTES.strip() + sep + text)

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..plans import rules as R
 from ..plans import state as S
+from ..plans import verify as V
 from ..schemas import SCOPE
 from ..sources import plan_log as L
 from ..sources.star_graph import PAIR, Graph, coverage, diagnostics, snapshots, star_graph
 from ..staging import stage, table
-from .plan_prelude import forbids, with_plans
+from .plan_prelude import forbids, with_plans, with_verify
 from .registry import query
 
 
@@ -301,3 +302,69 @@ def duplicate_removal(spark, sf):
     return ranked.filter(F.col("nth") > 1).select(
         "plan_id", "relation_id", "node_id", "op_index", "nth"
     )
+
+
+# ---- verification ---------------------------------------------------------------------------------
+def _verification(spark, sf):
+    c = _load(spark, sf)
+    cur = F.col("snapshot_id") == "cur"
+    return V.Verification(
+        scope=("shop", "cur"), ops=c.ops, baseline_nodes=c.nodes, baseline_relations=c.relations,
+        nodes=c.graph.nodes.filter(cur), relations=c.graph.relations.filter(cur),
+        coverage=c.graph.coverage.filter(cur), diagnostics=c.graph.diagnostics.filter(cur),
+        snapshots=c.graph.snapshots.filter(cur),
+    )
+
+
+def _register_verdict(key):
+    @query(key, with_verify(f"SELECT * FROM {key.replace('verify', 'v')}"))
+    def run(spark, sf):
+        return getattr(_verification(spark, sf), key)()
+
+
+for _key in ("verify_add", "verify_move", "verify_remove", "verify_relation", "verify_annotate"):
+    _register_verdict(_key)
+
+
+@query("bind_symbol", with_verify("""
+SELECT plan_id, id, enforce, removing, n, found_id, found_at, uncertain FROM bound"""))
+def bind_symbol(spark, sf):
+    return _verification(spark, sf).bindings.select(
+        "plan_id", "id", "enforce", "removing", "n", "found_id", "found_at", "uncertain"
+    )
+
+
+@query("capture_incomplete", with_verify("""
+f AS (SELECT DISTINCT file_path AS path, s.search_all FROM cn,
+        (VALUES (true), (false)) s(search_all) WHERE kind = 'file'),
+g AS (SELECT *, CASE WHEN path LIKE '%.py' THEN 'python' ELSE 'javascript' END AS family FROM f)
+SELECT f.path, f.search_all, bool_or(f.path = g.path OR starts_with(f.path, g.path || '/')
+  OR (f.search_all AND g.source <> 'excluded' AND (g.family = 'unknown' OR g.family = f.family)))
+  AS incomplete FROM g f, gaps2 g GROUP BY 1, 2"""))
+def capture_incomplete(spark, sf):
+    v = _verification(spark, sf)
+    files = v.nodes.filter(F.col("kind") == "file").select(
+        *SCOPE, F.col("file_path").alias("path"),
+        F.explode(F.array(F.lit(True), F.lit(False))).alias("search_all"),
+    )
+    return V.capture_incomplete(files, v.coverage, v.diagnostics, v.snapshots).drop(*SCOPE)
+
+
+@query("relation_check", with_verify("""
+SELECT plan_id, op_index, rem AS removing, fnd AS found, ot IS NOT NULL AS open_ends FROM rc2"""))
+def relation_check(spark, sf):
+    return _verification(spark, sf).relation_check().select(
+        "plan_id", "op_index", F.col("removing_rel").alias("removing"),
+        F.col("found_n").alias("found"), F.col("open_n").isNotNull().alias("open_ends"),
+    )
+
+
+@query("verify_plan", with_verify("SELECT * FROM report"))
+def verify_plan(spark, sf):
+    return _verification(spark, sf).report()
+
+
+@query("verification_rollup", with_verify(
+    "SELECT plan_id, status, count(*) AS items FROM report GROUP BY 1, 2"))
+def verification_rollup(spark, sf):
+    return V.verification_rollup(_verification(spark, sf).report())

@@ -105,7 +105,7 @@ def rule_invalid_target(state: PlanState, relations: DataFrame) -> DataFrame:
     or was planned by an earlier operation."""
     ops = state.ops
     notes = of_kind(ops, "annotate")
-    alive = state.effective().select(*PLAN, F.col("id").alias("target_id"))
+    alive = state.alive.select(*PLAN, F.col("id").alias("target_id"))
     orphan = notes.join(alive, [*PLAN, "target_id"], "left_anti")
     facts = relations.select(*SCOPE, F.col("id").alias("target_id"), F.lit(True).alias("fact"))
     planned = _planned_relations(ops).withColumnRenamed("relation_id", "target_id")
@@ -134,27 +134,9 @@ def rule_duplicate_relation(ops: DataFrame, relations: DataFrame) -> DataFrame:
     return _issues(rows, "DUPLICATE_RELATION", _text("Relation %s already exists.", "relation_id"))
 
 
-def planned_endpoints(state: PlanState) -> DataFrame:
-    """Planned relations with the planned state of both ends and whether they are usable."""
-    ends = state.effective()
-    rows = of_kind(state.ops, "add_relation")
-    for side in ("source", "target"):
-        rows = rows.join(
-            ends.select(*PLAN, F.col("id").alias(f"{side}_id"),
-                         F.col("node_kind").alias(f"{side}_kind"),
-                         F.col("node_name").alias(f"{side}_name"),
-                         F.col("node_path").alias(f"{side}_path")),
-            [*PLAN, f"{side}_id"], "left",
-        )
-    usable = (F.col("source_kind") == "function") & F.col("target_kind").isin(
-        "function", "external"
-    )
-    return rows.withColumn("usable", F.coalesce(usable, F.lit(False)))
-
-
 def rule_invalid_endpoint(state: PlanState) -> DataFrame:
     return _issues(
-        planned_endpoints(state).filter(~F.col("usable")), "INVALID_ENDPOINT",
+        state.endpoints.filter(~F.col("usable")), "INVALID_ENDPOINT",
         F.lit("Planned calls require an existing function source and function or external "
               "target."),
     )
@@ -162,7 +144,7 @@ def rule_invalid_endpoint(state: PlanState) -> DataFrame:
 
 def rule_compatibility_unknown(state: PlanState) -> DataFrame:
     return _issues(
-        planned_endpoints(state).filter("usable"), "COMPATIBILITY_UNKNOWN",
+        state.endpoints.filter("usable"), "COMPATIBILITY_UNKNOWN",
         F.lit("Interface compatibility is unknown; arguments, return values, and possible "
               "adaptation require human review."), "warning",
     )
@@ -176,7 +158,7 @@ def rule_invalid_policy_path(plans: DataFrame, policies: DataFrame) -> DataFrame
 
 def rule_forbidden_planned(plans: DataFrame, state: PlanState, policies: DataFrame) -> DataFrame:
     owner = plans.select("plan_id", F.col("project_id").alias("policy_project"))
-    rows = planned_endpoints(state).filter("usable").join(owner, "plan_id").select(
+    rows = state.endpoints.filter("usable").join(owner, "plan_id").select(
         *PLAN, "op_index", "policy_project", F.col("source_path"),
         F.coalesce("target_path", "target_name").alias("target_key"),
     ).filter(F.col("source_path").isNotNull())

@@ -7,6 +7,7 @@ combine map-side, so one very long plan is no bottleneck.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -80,6 +81,29 @@ class PlanState:
             F.when(moved, F.col("moved_to")).otherwise(F.col("node_path")).alias("node_path"),
         )
 
+    @cached_property
+    def alive(self) -> DataFrame:
+        """Surviving referenced nodes, written once because several rules read them."""
+        return stage(self.effective(), "plan-alive")
+
+    @cached_property
+    def endpoints(self) -> DataFrame:
+        """Planned relations with the planned state of both ends and whether they are usable."""
+        rows = of_kind(self.ops, "add_relation")
+        for side in ("source", "target"):
+            rows = rows.join(
+                self.alive.select(*PLAN, F.col("id").alias(f"{side}_id"),
+                                  F.col("node_kind").alias(f"{side}_kind"),
+                                  F.col("node_name").alias(f"{side}_name"),
+                                  F.col("node_path").alias(f"{side}_path")),
+                [*PLAN, f"{side}_id"], "left",
+            )
+        usable = (F.col("source_kind") == "function") & F.col("target_kind").isin(
+            "function", "external"
+        )
+        return stage(rows.withColumn("usable", F.coalesce(usable, F.lit(False))),
+                     "plan-endpoints")
+
     def look_up(self, refs: DataFrame) -> DataFrame:
         return _lookup(refs, self.added, self.nodes)
 
