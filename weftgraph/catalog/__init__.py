@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["graph", "functions", "plans"]
+MODULES = ["graph", "functions", "plans", "knowledge"]
 
 
 def load() -> None:
