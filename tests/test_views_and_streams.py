@@ -150,11 +150,33 @@ def test_revision_state_spans_micro_batches(spark):
                [("n", 5, "delete", 2, None, None), ("n", 6, "edit", 3, "x", None)]]
     for rows in batches:
         spark.createDataFrame(rows, CHANGE).coalesce(1).write.mode("append").parquet(path)
-    out = T.run_to_table(T.revision_cas(T.stream_table(spark, path, 1)), "cas-test")
+    out = T.run_to_table(T.revision_state(T.stream_table(spark, path, 1)), "cas-test")
     assert collect(out, "seq", "outcome") == [
         (2, "applied"), (3, "conflict"), (5, "applied"), (6, "conflict")]
 
 
+def test_revision_batches_decide_like_keyed_state(spark):
+    path = f"{stage_root(spark)}/cas-batches-{random.random()}"
+    for rows in ([("n", 2, "edit", 1, "u", None), ("m", 3, "edit", 7, "u", None)],
+                 [("n", 4, "edit", 2, "u", None), ("n", 3, "edit", 1, "late", None)],
+                 [("n", 5, "delete", 2, None, None)], [("n", 6, "edit", 3, "x", None)]):
+        spark.createDataFrame(rows, CHANGE).coalesce(1).write.mode("append").parquet(path)
+    current = spark.createDataFrame([("n", 1, "t", None)],
+                                    "id string, revision bigint, text string, target_id string")
+    out = T.revision_cas(T.stream_table(spark, path, 1), current)
+    assert collect(out, "id", "seq", "outcome") == [
+        ("m", 3, "conflict"), ("n", 2, "applied"), ("n", 3, "conflict"), ("n", 5, "applied"),
+        ("n", 6, "conflict")]
+
+
+def test_copies_are_numbered_across_blocks(spark):
+    from weftgraph.operators.paging import expand_copies
+
+    counted = spark.createDataFrame([("a", 25), ("b", 1), ("c", 10)], "k string, n bigint")
+    rows = collect(expand_copies(counted, "n", "i", block=10), "k", "i")
+    assert rows == [("a", i) for i in range(1, 26)] + [("b", 1)] + [("c", i) for i in range(1, 11)]
+
+
 def test_late_rows_are_dropped_after_the_watermark(spark):
     path = f"{stage_root(spark)}/late-test-{random.random()}"
     for rows in ([("2024-01-01 00:10:00",)], [("2024-01-01 05:00:00",)], [("2024-01-01 06:00:00",)],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..knowledge import annotations as A
@@ -80,14 +82,9 @@ SELECT id, seq, 'applied' AS outcome, revision FROM st WHERE action <> 'create'
 UNION ALL SELECT id, seq, 'conflict', expected FROM ch
   WHERE (id, seq) NOT IN (SELECT (id, seq) FROM st)""")))
 def stream_revision_cas(spark, sf):
-    opened = K.notes(spark, sf).select(
-        "id", F.lit(-1).cast("bigint").alias("seq"), F.lit("open").alias("action"),
-        F.col("revision").alias("expected"), "text", "target_id")
-    changes = K.note_changes(spark, sf).select(*opened.columns)
-    path = f"{stage_root(spark)}/cas-input-{id(opened)}"
-    opened.unionByName(changes).write.mode("overwrite").parquet(path)
-    stream = T.stream_table(spark, path)
-    return T.run_to_table(T.revision_cas(stream), "stream-cas")
+    path = f"{stage_root(spark)}/cas-input-{uuid.uuid4().hex}"
+    K.note_changes(spark, sf).write.parquet(path)
+    return T.revision_cas(T.stream_table(spark, path), K.notes(spark, sf))
 
 
 @query("stream_reconcile", with_notes("""
@@ -97,8 +94,8 @@ def stream_reconcile(spark, sf):
     """Notes arrive as a stream and are reconciled with the current snapshot batch by batch."""
     c = _load(spark, sf)
     g, cur = c.graph, F.col("snapshot_id") == "cur"
-    path = f"{stage_root(spark)}/notes-input-{id(c)}"
-    K.notes(spark, sf).repartition(4, "id").write.mode("overwrite").parquet(path)
+    path = f"{stage_root(spark)}/notes-input-{uuid.uuid4().hex}"
+    K.notes(spark, sf).repartition(4, "id").write.parquet(path)
     stream = T.stream_table(spark, path, files_per_trigger=2)
 
     def step(batch):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import digest, make_id, unordered_digest
 from ..functions.paths import ancestors, basename, dirname, language_of
+from ..operators.paging import expand_copies
 from ..staging import stage
 
 
@@ -186,8 +187,7 @@ def build_edges(project: str, raw: DataFrame) -> DataFrame:
     """
     keys = ["type", "source_id", "target_id", "resolution", "path", "line", "text"]
     counted = raw.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    rows = counted.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"),
-                                                          F.col("copies"))))
+    rows = expand_copies(counted, "copies", "nth")
     return rows.select(
         make_id("relation", F.lit(project), "type", "source_id",
                 F.coalesce("target_id", F.lit("")), "resolution", "path", "line",

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.paging import expand_copies
 from ..staging import stage, table
 
 PROJECT = "shop"
@@ -206,8 +207,8 @@ def calls(spark: SparkSession, sf: str, scopes=FULL) -> DataFrame:
         _lines(spark, sf, scopes)
         .select(*keys, detail.alias("detail"))
         .groupBy(*keys, "detail").agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     )
+    lines = expand_copies(lines, "copies", "copy")
     where = table(spark, sf, "orders").join(
         customer_files(spark, sf).select("c_custkey", "file_path"),
         F.col("o_custkey") == F.col("c_custkey"),
