@@ -28,8 +28,8 @@ from .common import (FIT_ROWS, calibrate, class_counts, fit_sample, held_out, la
 
 MODULUS, REMAINDER = 4, 2
 CUT = 0.3
-#: Flat and pooled Dirichlet prior mass, standard errors taken off, drift per word.
-FLAT, POOLED, ERRORS, DRIFT = 0.5, 1000.0, 2.4, 0.5
+#: Flat and pooled Dirichlet prior mass (in texts), standard errors taken off, drift per word.
+FLAT, POOLED, ERRORS, DRIFT = 0.5, 10.0, 2.4, 0.5
 #: A word without a score of its own may take that of its first bytes.
 STEM = 5
 #: Words met in fewer toxic texts of the sample say too little.
@@ -49,7 +49,7 @@ def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict
 
     Counts are of texts, so a word said often in one text counts once.
     """
-    total, scores = max(sum(toxic.values()) + sum(clean.values()), 1), {}
+    total, scores = n_toxic + n_clean, {}
     for word, k in toxic.items():
         if k < LEAST_TEXTS or not word:
             continue
