@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.staging import table
 
-from . import bpe, html_text, packing, quality_classifier, quality_rules, sharding, simhash, toxicity
+from . import bpe, fingerprint, html_text, packing, quality_classifier, quality_rules, sharding, simhash, toxicity
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -38,6 +38,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edits(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents")).select(
