@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +29,7 @@ from pyspark.sql import functions as F
 from weftgraph.staging import stage_root
 
 from .common import bounded, texts
+from .packs import planes, squeeze, unplanes, unsqueeze
 from .tokens import opened, paths
 
 #: Characters of text in a block, about; a longer document is a block of its own.
@@ -57,30 +57,6 @@ def spelled(word: str) -> str:
     return word[1:] if word[:1] == " " else " " + word
 
 
-def squeeze(*arrays: np.ndarray | bytes) -> bytes:
-    """Arrays as one compressed value: number and sizes, then the bytes."""
-    parts = [a if isinstance(a, bytes) else a.tobytes() for a in arrays]
-    head = np.array([len(parts), *map(len, parts)], "<u8").tobytes()
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
-
-
-def unsqueeze(data: bytes) -> list[bytes]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int(np.frombuffer(raw, "<u8", 1)[0])
-    ends = np.cumsum(np.frombuffer(raw, "<u8", n, 8)).tolist()
-    at = 8 * (n + 1)
-    return [raw[at + a:at + b] for a, b in zip([0, *ends], ends)]
-
-
-def planes(values: np.ndarray) -> bytes:
-    """32-bit numbers with their bytes in separate planes, which compress better."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def unplanes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-
-
 def _block(name: str, ids: list[int | None], rows: list[list[str]], shards: int) -> Iterator[dict]:
     """Rows of one block: its words by shard, in rank order, and the ranks of every document."""
     count: Counter[str] = Counter()
