@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from weftgraph.staging import table
 
-from . import bpe, fingerprint, html_text, packing, quality_classifier, quality_rules, sharding, simhash, toxicity
+from . import (bpe, fingerprint, html_text, lm_scoring, packing, quality_classifier, quality_rules,
+               sharding, simhash, toxicity)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +65,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score(table(spark, sf_dir, "documents"))
