@@ -60,12 +60,13 @@ def paragraph_vectors(texts: DataFrame, key: list[str], column: str = "text") ->
 def combine(vectors: DataFrame, key: list[str], signs: Column | None = None) -> DataFrame:
     """Sums vectors lane by lane; ``signs`` (1 or -1 per row) subtracts removed paragraphs.
 
-    ``d``: digest lanes modulo 2^32; ``n`` pairs; ``s`` sign counts of each lane modulo 2^32.
+    ``d``: digest lanes; ``n``: pairs; ``s``: sign counts of each lane; all modulo 2^32, as ints.
     """
     sign = F.lit(1) if signs is None else signs
     low = lambda c: F.sum(sign * F.col(c).bitwiseAND(F.lit(MASK)))
     high = lambda c: F.sum(sign * F.shiftrightunsigned(c, 32))
-    whole = lambda c: F.pmod(c, F.lit(MASK + 1)).cast("long")
+    half = F.lit(1 << 31)
+    whole = lambda c: (F.pmod(c + half, F.lit(MASK + 1)) - half).cast("int")
     return vectors.groupBy(*key).agg(
         F.array(*(whole(F.sum(sign * F.col(f"d{i}"))) for i in range(LANES))).alias("d"),
         whole(F.sum(sign * F.col("n"))).alias("n"),
@@ -79,7 +80,8 @@ def fingerprints(texts: DataFrame, key: list[str], column: str = "text") -> Data
 
 def written(d: str = "d", n: str = "n", s: str = "s") -> Column:
     """The fingerprint as text: lanes in hexadecimal."""
-    hexed = lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")
+    hexed = lambda x: F.lpad(F.lower(F.hex(
+        x.cast("long").bitwiseAND(F.lit(MASK)))), 8, "0")
     return F.concat_ws("-", F.array_join(F.transform(d, hexed), ""), hexed(F.col(n)),
                        F.array_join(F.transform(s, hexed), ""))
 
@@ -98,21 +100,29 @@ def likeness(a: tuple[str, str, str], b: tuple[str, str, str]) -> Column:
 
 
 KEY = ["id", "n_chars", "hash", "copy"]
+SAME = KEY[:3]
 
 
 def _keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """Rows with a key without nulls; equal rows are counted off by ``copy`` from 1."""
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).select(
-        "doc_id", F.coalesce("doc_id", F.lit(0)).alias("id"),
+    """Rows with a key without nulls; equal rows are counted off by ``copy`` from 1.
+
+    The last bit of ``hash`` says that the id is null (``id`` is 0 then).
+    """
+    none = F.col("doc_id").isNull()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
+                       F.coalesce("text", F.lit("")).alias("text")).select(
+        F.coalesce("doc_id", F.lit(0)).alias("id"),
         F.char_length("text").cast("long").alias("n_chars"),
-        F.xxhash64("text", F.col("doc_id").isNull()).alias("hash"), *more)
-    upto = Window.partitionBy("id", "n_chars", "hash").orderBy("hash").rowsBetween(
+        (F.shiftleft(F.xxhash64("text"), 1) + none.cast("long")).alias("hash"), *more)
+    upto = Window.partitionBy(*SAME).orderBy("hash").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("copy", F.count("*").over(upto))
 
 
+def _null_id() -> Column:
+    return F.col("hash").bitwiseAND(F.lit(1)) == 1
+
+
 def next_keys(docs: DataFrame) -> DataFrame:
     """KEY of every row and, prefixed ``next_``, of the next document in ascending order.
 
@@ -120,14 +130,12 @@ def next_keys(docs: DataFrame) -> DataFrame:
     row of each cell (one row a cell) closes the gaps between cells.
     """
     spark = docs.sparkSession
-    order = [F.col("none"), F.col("id"), F.col("n_chars"), F.col("hash"), F.col("copy")]
-    rows = _keyed(docs).select(*KEY, F.col("doc_id").isNull().alias("none"))
+    rows = _keyed(docs).select(_null_id().alias("none"), *KEY)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.repartitionByRange(parts, *order).select(
+    ranged = rows.repartitionByRange(parts, "none", *KEY).select(
         "*", F.spark_partition_id().alias("cell"))
     ranged = stage(ranged, "fingerprint-order")  # cells are fixed from here on
-    cell = Window.partitionBy("cell").orderBy(*order)
-    after = F.lead(F.struct(*KEY)).over(cell)
+    after = F.lead(F.struct(*KEY)).over(Window.partitionBy("cell").orderBy("none", *KEY))
     firsts = ranged.groupBy("cell").agg(F.min(F.struct("none", *KEY)).alias("first"))
     over = Window.orderBy("cell")  # one row per cell
     firsts = firsts.select(
@@ -139,41 +147,47 @@ def next_keys(docs: DataFrame) -> DataFrame:
 
 
 def with_edited(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """KEY, doc_id, text and ``edited``: its last quarter replaced by the next document's start."""
+    """KEY, the key of the next document, text and ``edited``: the text with its last quarter
+    replaced by the next one's start.
+
+    Both joins read the texts dealt out by SAME, so whole texts move once; starts move once more.
+    """
     rows = _keyed(docs, "text")
-    take = F.floor(F.col("n_chars") / 4).cast("int")
-    wanted = pairs.select(*(F.col(c).alias(f"for_{c}") for c in KEY),
-                          *(F.col(f"next_{c}").alias(c) for c in KEY),
-                          F.floor(F.col("n_chars") / 4).cast("int").alias("take"))
-    same = ["id", "n_chars", "hash"]  # the copies of a row have one text
-    heads = rows.select(*KEY, "text").join(wanted.withColumnRenamed("copy", "which"), same).where(
-        "copy = which").select(*(F.col(f"for_{c}").alias(c) for c in same),
-                               F.col("for_copy").alias("which"),
-                               F.substr("text", F.lit(1), F.col("take")).alias("head"))
-    return rows.join(heads, same).where("copy = which").select(
-        *KEY, "doc_id", "text", F.concat(
-            F.substr("text", F.lit(1), (F.col("n_chars") - take).cast("int")), "head").alias("edited"))
+    quarter = F.floor(F.col("n_chars") / 4).cast("int")
+    wanted = pairs.select(*(F.col(c).alias(f"for_{c}") for c in KEY), quarter.alias("take"),
+                          *(F.col(f"next_{c}").alias(c) for c in SAME),
+                          F.col("next_copy").alias("which"))
+    heads = rows.join(wanted, SAME).where("copy = which").select(
+        *(F.col(f"for_{c}").alias(c) for c in SAME), F.col("for_copy").alias("which"),
+        *(F.col(c).alias(f"next_{c}") for c in KEY),
+        F.substr("text", F.lit(1), F.col("take")).alias("head"))
+    return rows.join(heads, SAME).where("copy = which").select(
+        *KEY, *(f"next_{c}" for c in KEY), "text", F.concat(
+            F.substr("text", F.lit(1), (F.col("n_chars") - quarter).cast("int")),
+            "head").alias("edited"))
 
 
 def edits(docs: DataFrame) -> DataFrame:
     """Both fingerprints and both likenesses of every row."""
-    pairs = next_keys(docs)
-    rows = with_edited(docs, pairs)
-    sha = F.sha2(F.encode("edited", "UTF-8"), 256)
-    both = rows.select(*KEY, F.inline(F.array(
+    rows = with_edited(docs, next_keys(docs))
+    following = [f"next_{c}" for c in KEY]
+    both = rows.select(*KEY, *following, F.inline(F.array(
         F.struct(F.lit(0).alias("kind"), F.col("text").alias("t"),
                  F.lit(None).cast("string").alias("sha")),
-        F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"), sha.alias("sha")))), "doc_id")
-    key = [*KEY, "kind", "doc_id", "sha"]
-    found = stage(fingerprints(both, key, "t"), "fingerprint-vectors")
-    own = found.where("kind = 0").drop("kind", "sha")
-    new = found.where("kind = 1").select(*KEY, F.col("sha").alias("edited_sha256"), F.col("d").alias(
-        "ed"), F.col("n").alias("en"), F.col("s").alias("es"))
-    after = found.where("kind = 0").select(
-        *(F.col(c).alias(f"next_{c}") for c in KEY), F.col("d").alias("nd"), F.col("n").alias("nn"),
-        F.col("s").alias("ns"))
-    return (own.join(new, KEY).join(pairs, KEY).join(after, [f"next_{c}" for c in KEY])
-            .select("doc_id", "n_chars", "edited_sha256", written().alias("fingerprint"),
-                    written("ed", "en", "es").alias("edited_fingerprint"),
-                    likeness(("d", "n", "s"), ("ed", "en", "es")).alias("near_edited"),
-                    likeness(("d", "n", "s"), ("nd", "nn", "ns")).alias("near_next")))
+        F.struct(F.lit(1).alias("kind"), F.col("edited").alias("t"),
+                 F.sha2(F.encode("edited", "UTF-8"), 256).alias("sha")))))
+    found = fingerprints(both, [*KEY, *following, "kind", "sha"], "t")
+    # The two rows of a document stand in one task already.
+    of = lambda kind, *c: F.max(F.when(F.col("kind") == kind, F.struct(*c)))
+    found = found.groupBy(*KEY, *following).agg(
+        of(0, "d", "n", "s").alias("own"), of(1, "d", "n", "s", "sha").alias("new"))
+    found = stage(found.select(
+        *KEY, *following, "own.*", F.col("new.d").alias("ed"), F.col("new.n").alias("en"),
+        F.col("new.s").alias("es"), F.col("new.sha").alias("edited_sha256")), "fingerprints")
+    after = found.select(*(F.col(c).alias(f"next_{c}") for c in KEY), F.col("d").alias("nd"),
+                         F.col("n").alias("nn"), F.col("s").alias("ns"))
+    return found.join(after, following).select(
+        F.when(~_null_id(), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256",
+        written().alias("fingerprint"), written("ed", "en", "es").alias("edited_fingerprint"),
+        likeness(("d", "n", "s"), ("ed", "en", "es")).alias("near_edited"),
+        likeness(("d", "n", "s"), ("nd", "nn", "ns")).alias("near_next"))
