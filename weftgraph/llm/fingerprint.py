@@ -153,15 +153,17 @@ def with_edited(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     Both joins read the texts dealt out by SAME, so whole texts move once; starts move once more.
     """
     rows = _keyed(docs, "text")
+    # Copies are told apart after the join; as an equality this would deal the texts out anew.
+    twin = (F.col("copy") <= F.col("which")) & (F.col("copy") >= F.col("which"))
     quarter = F.floor(F.col("n_chars") / 4).cast("int")
     wanted = pairs.select(*(F.col(c).alias(f"for_{c}") for c in KEY), quarter.alias("take"),
                           *(F.col(f"next_{c}").alias(c) for c in SAME),
                           F.col("next_copy").alias("which"))
-    heads = rows.join(wanted, SAME).where("copy = which").select(
+    heads = rows.join(wanted, SAME).where(twin).select(
         *(F.col(f"for_{c}").alias(c) for c in SAME), F.col("for_copy").alias("which"),
         *(F.col(c).alias(f"next_{c}") for c in KEY),
         F.substr("text", F.lit(1), F.col("take")).alias("head"))
-    return rows.join(heads, SAME).where("copy = which").select(
+    return rows.join(heads, SAME).where(twin).select(
         *KEY, *(f"next_{c}" for c in KEY), "text", F.concat(
             F.substr("text", F.lit(1), (F.col("n_chars") - quarter).cast("int")),
             "head").alias("edited"))
