@@ -200,8 +200,8 @@ def exports_condition_converge(requests: DataFrame, sources: DataFrame) -> DataF
     """
     rows = requests.withColumn("outcome", F.explode(export_outcomes("conditions", "mode")))
     inside = F.col("outcome").startswith("./")
-    path = F.when(inside, F.when(F.col("dir") == ".", F.substring("outcome", 3, 10**6)).otherwise(
-        F.concat_ws("/", "dir", F.substring("outcome", 3, 10**6))))
+    path = F.when(inside, F.when(F.col("dir") == ".", F.substr("outcome", F.lit(3))).otherwise(
+        F.concat_ws("/", "dir", F.substr("outcome", F.lit(3)))))
     rows = rows.withColumn("path", path).join(
         sources.select("path", F.lit(True).alias("captured")).distinct(), "path", "left")
     per = rows.groupBy("request_id").agg(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import digest, make_id, unordered_digest
@@ -55,8 +57,7 @@ def link_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
         .otherwise("external").alias("resolution"))
 
 
-def link_calls(calls: DataFrame, modules: DataFrame, bindings: DataFrame,
-               max_rounds: int = 64) -> DataFrame:
+def link_calls(calls: DataFrame, modules: DataFrame, bindings: DataFrame) -> DataFrame:
     """Follow symbolic call targets through re-exports to a declaration.
 
     ``calls``: call_id and the symbolic target; each round all open calls take one step along
@@ -81,7 +82,7 @@ def link_calls(calls: DataFrame, modules: DataFrame, bindings: DataFrame,
         "project_id", "call_id", F.col("module").alias("at_module"), F.col("attrs").alias("parts"),
         "relative", F.lit("").alias("in_scope"), none.alias("class_path"),
         F.array().cast("array<string>").alias("seen"))
-    for n in range(max_rounds):
+    for n in count():
         state = stage(state, f"link-{n}")
         if state.isEmpty():
             return done
@@ -133,7 +134,6 @@ def link_calls(calls: DataFrame, modules: DataFrame, bindings: DataFrame,
             F.when(is_member, F.col("b_qualified")).otherwise("").alias("in_scope"),
             F.when(is_member, F.col("at_path")).alias("class_path"),
             F.array_append("seen", F.col("key")).alias("seen"))
-    raise RuntimeError("re-export chains are longer than max_rounds")
 
 
 def resolve_calls(calls: DataFrame, linked: DataFrame) -> DataFrame:

@@ -60,14 +60,33 @@ def policy_canonical(pid, prefix, purpose, forbidden) -> Column:
     )
 
 
-_SEGMENT = (
-    r"((?:<(?:\"(?:\\.|[^\"\\])*\"|[^<>\"]|<[^<>]*>)*>|[^.<]|<[\s\S]*(?=\.$))*)\."
-)
-
-
 def split_qualified(value) -> Column:
-    """Parts of a qualified name: dots inside ``<...>`` (and its JSON strings) do not split."""
-    return F.regexp_extract_all(F.concat(_col(value), F.lit(".")), F.lit(_SEGMENT), F.lit(1))
+    """Parts of a qualified name: dots inside ``<...>`` (and its JSON strings) do not split.
+
+    One pass over the characters with the nesting depth, whatever it is.  Inside brackets a quoted
+    string hides brackets and dots; an opening bracket that never closes hides the rest.
+    """
+    text = _col(value)
+    start = F.struct(
+        F.array().cast("array<string>").alias("parts"), F.lit("").alias("part"),
+        F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"))
+
+    def step(s: Column, c: Column) -> Column:
+        quote = (c == '"') & ~s["escaped"] & (s["depth"] > 0)
+        free = ~s["quoted"]
+        depth = (F.when(free & (c == "<"), s["depth"] + 1)
+                 .when(free & (c == ">") & (s["depth"] > 0), s["depth"] - 1)
+                 .otherwise(s["depth"]))
+        cut = (c == ".") & (s["depth"] == 0)
+        return F.struct(
+            F.when(cut, F.array_append(s["parts"], s["part"])).otherwise(s["parts"]).alias("parts"),
+            F.when(cut, F.lit("")).otherwise(F.concat(s["part"], c)).alias("part"),
+            depth.alias("depth"),
+            F.when(quote, ~s["quoted"]).otherwise(s["quoted"]).alias("quoted"),
+            (s["quoted"] & (c == "\\") & ~s["escaped"]).alias("escaped"))
+
+    return F.aggregate(F.split(text, ""), start, step,
+                       lambda s: F.array_append(s["parts"], s["part"]))
 
 
 def display_name(value, callback: str = "callback", anonymous: str = "anonymous") -> Column:

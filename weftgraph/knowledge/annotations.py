@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.ids import digest, unordered_digest
@@ -141,27 +143,26 @@ def annotation_list(resolved: DataFrame, status: str | None = None, offset: int
     )
 
 
-def apply_changes(current: DataFrame, changes: DataFrame, max_rounds: int = 1000
+def apply_changes(current: DataFrame, changes: DataFrame
                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Revision-checked changes in ``seq`` order: (current, history, conflicts).
 
     ``current``: id, revision, text, target_id.  A change holds when its expected revision is the
     note's revision at its turn; an edit that changes nothing is accepted without a revision.
     Each round accepts the next change of every note at once (an aggregate, never a sorted
-    group), so the number of rounds is the longest accepted chain of a single note.
+    group), so the number of rounds is the longest accepted chain of a single note.  A round
+    writes only the notes it changed; they alone can change in the next one.
     """
     state = current.select(
         "id", "revision", "text", "target_id", F.lit(False).alias("deleted"),
         F.lit(-1).cast("bigint").alias("seq"),
     )
-    pending = changes
-    taken = None
-    body = F.struct(*[F.col(c) for c in changes.columns if c != "id"])
-    for n in range(max_rounds):
+    moving, taken = state, None
+    for n in count():
         turn = (
-            pending.withColumnRenamed("seq", "at_seq").withColumnRenamed("text", "new_text")
+            changes.withColumnRenamed("seq", "at_seq").withColumnRenamed("text", "new_text")
             .withColumnRenamed("target_id", "new_target")
-            .join(state.filter(~F.col("deleted")).select(
+            .join(moving.filter(~F.col("deleted")).select(
                 "id", "revision", "seq", "text", "target_id"), "id")
             .filter((F.col("at_seq") > F.col("seq")) & (F.col("expected") == F.col("revision")))
             .groupBy("id").agg(F.min_by(F.struct(
@@ -187,19 +188,17 @@ def apply_changes(current: DataFrame, changes: DataFrame, max_rounds: int = 1000
         if step.isEmpty():
             break
         taken = step if taken is None else taken.unionByName(step)
-        latest = step.select("id", "revision", "text", "target_id",
+        moving = step.select("id", "revision", "text", "target_id",
                              (F.col("action") == "delete").alias("deleted"), "seq")
-        state = stage(
-            state.join(step.select("id"), "id", "left_anti").unionByName(latest),
-            f"note-state-{n}",
-        )
-    else:
-        raise RuntimeError("revision chains are longer than max_rounds")
     if taken is None:
         taken = state.limit(0).select(
             "id", F.lit("").alias("action"), "seq", F.lit(False).alias("noop"), "revision",
             "text", "target_id",
         )
+    row = F.struct("revision", "text", "target_id", (F.col("action") == "delete").alias("deleted"),
+                   "seq")
+    last = taken.groupBy("id").agg(F.max_by(row, "seq").alias("c")).select("id", "c.*")
+    state = state.join(last.select("id"), "id", "left_anti").unionByName(last)
     conflicts = changes.join(taken.select("id", "seq"), ["id", "seq"], "left_anti")
     return state, taken.filter(~F.col("noop")), conflicts
 

@@ -81,20 +81,14 @@ def prefix_ranks(df: DataFrame, keys: list[str], coarse: Column, order: list[Col
 def expand_copies(counted: DataFrame, copies: str, nth: str, block: int = 10000) -> DataFrame:
     """One row per copy, numbered 1..copies.
 
-    Rows with very many copies are cut into blocks that are spread over tasks before they are
-    expanded, so a pile of copies is not written by a single task.
+    Copies are cut into blocks that are spread over tasks before they are expanded, so a pile of
+    copies is not written by a single task.
     """
     spark = counted.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = F.col(copies)
     one, size = F.lit(1).cast("bigint"), F.lit(block).cast("bigint")
-    few = counted.filter(n <= block).withColumn(nth, F.explode(F.sequence(one, n)))
-    many = (
-        counted.filter(n > block)
-        .withColumn("_from", F.explode(F.sequence(one, n, size)))
-        .repartition(tasks, "_from")
-        .withColumn(nth, F.explode(F.sequence(
-            F.col("_from"), F.least(F.col("_from") + (size - 1), n))))
-        .drop("_from")
-    )
-    return few.unionByName(many)
+    blocks = counted.filter(n >= 1).withColumn("_from", F.explode(F.sequence(one, n, size)))
+    return blocks.repartition(tasks, *counted.columns, "_from").withColumn(
+        nth, F.explode(F.sequence(F.col("_from"), F.least(F.col("_from") + (size - 1), n)))
+    ).drop("_from")

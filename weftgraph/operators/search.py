@@ -29,26 +29,8 @@ def _grams(text: Column, size: int) -> Column:
     )
 
 
-FEW_QUERIES = 256
-
-
-def search_matches(nodes: DataFrame, requests: DataFrame,
-                   few: int = FEW_QUERIES) -> DataFrame:
-    """(q, node) matches for distinct normalized queries: q is a substring of a field.
-
-    A counted handful of queries travels as one array per snapshot, so each function is tested in
-    one scan without a shuffle.  More queries than that meet the functions through grams.
-    """
-    functions = nodes.filter(F.col("kind") == "function")
-    asked = requests.select(*SCOPE, normalize_query(F.col("q")).alias("q")).distinct()
-    if asked.limit(few + 1).count() > few:
-        return _matches_by_gram(functions, asked)
-    name, qualified, path = _search_fields()
-    per_scope = asked.groupBy(*SCOPE).agg(F.collect_list("q").alias("qs"))
-    hits = F.filter(
-        "qs", lambda q: name.contains(q) | qualified.contains(q) | path.contains(q)
-    )
-    return functions.join(per_scope, SCOPE).withColumn("q", F.explode(hits)).drop("qs")
+#: One function in so many is read to learn which grams are rare.
+GRAM_SAMPLE = 64
 
 
 def _search_fields() -> list[Column]:
@@ -56,13 +38,32 @@ def _search_fields() -> list[Column]:
             for c in ("name", "qualified_name", "file_path")]
 
 
-def _matches_by_gram(functions: DataFrame, asked: DataFrame) -> DataFrame:
-    """Equi-join on a probe gram, verified by ``contains``.
+def _probes(functions: DataFrame, asked: DataFrame) -> DataFrame:
+    """(scope, q, gram): the rarest three-letter part of every longer query.
+
+    Frequencies come from a hash sample: any part finds the matches, a rare one meets fewer names.
+    """
+    own = asked.filter(F.length("q") >= 3).withColumn("gram", F.explode(_grams(F.col("q"), 3)))
+    text = F.concat_ws("\n", *_search_fields())
+    common = (
+        functions.filter(F.pmod(F.xxhash64("id"), F.lit(GRAM_SAMPLE)) == 0)
+        .select(*SCOPE, F.explode(_grams(text, 3)).alias("gram"))
+        .groupBy(*SCOPE, "gram").agg(F.count(F.lit(1)).alias("uses")))
+    rare = F.struct(F.coalesce("uses", F.lit(0)).alias("n"), "gram")
+    return own.join(common, [*SCOPE, "gram"], "left").groupBy(*SCOPE, "q").agg(
+        F.min(rare).alias("r")).select(*SCOPE, "q", F.col("r.gram").alias("gram"))
+
+
+def search_matches(nodes: DataFrame, requests: DataFrame) -> DataFrame:
+    """(q, node) matches for distinct normalized queries: q is a substring of a field.
 
-    Each query contributes its first three characters (or all of a shorter query), each function
-    the grams of its fields.  A gram size nobody asks for has an empty side, which adaptive
-    execution drops.  The empty query matches every function and joins on the scope alone.
+    Equi-join on a probe gram, verified by ``contains``: each query contributes its rarest three
+    characters (or all of a shorter query), each function the grams of its fields.  A gram size
+    nobody asks for has an empty side, which adaptive execution drops.  The empty query matches
+    every function and joins on the scope alone.
     """
+    functions = nodes.filter(F.col("kind") == "function")
+    asked = requests.select(*SCOPE, normalize_query(F.col("q")).alias("q")).distinct()
     fields = _search_fields()
     hit = fields[0].contains(F.col("q")) | fields[1].contains(F.col("q")) | fields[2].contains(
         F.col("q")
@@ -70,8 +71,8 @@ def _matches_by_gram(functions: DataFrame, asked: DataFrame) -> DataFrame:
     text = F.concat_ws("\n", *fields)
     found = functions.join(asked.filter(F.col("q") == ""), SCOPE)
     for size in (1, 2, 3):
-        long_enough = F.length("q") >= 3 if size == 3 else F.length("q") == size
-        probes = asked.filter(long_enough).withColumn("gram", F.substring("q", 1, size))
+        probes = _probes(functions, asked) if size == 3 else asked.filter(
+            F.length("q") == size).withColumn("gram", F.col("q"))
         grams = functions.withColumn("gram", F.explode(_grams(text, size)))
         found = found.unionByName(
             grams.join(probes, [*SCOPE, "gram"]).filter(hit).drop("gram")

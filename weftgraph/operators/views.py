@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paths import dir_distance, dirname
 from ..staging import stage
-from .paging import top_n, totals
+from .paging import prefix_ranks, top_n, totals
 
 # Fixed card and frame sizes of the views.
 CARD_W, CARD_H, FRAME_PAD, FOLDER_PAD, TITLE = 270, 150, 24, 28, 26
@@ -139,7 +141,7 @@ def bounding_frames(cards: DataFrame, key: str, pad: int = FRAME_PAD) -> DataFra
                       (F.col("y1") - F.col("y0")).alias("height"))
 
 
-def nested_frames(cards: DataFrame, contains: DataFrame, max_rounds: int = 64) -> DataFrame:
+def nested_frames(cards: DataFrame, contains: DataFrame) -> DataFrame:
     """Folder boxes enclosing children and sub-folder boxes, innermost folders first.
 
     ``cards``: id, kind, x, y; ``contains``: parent, child.  One round per tree level; folders
@@ -155,7 +157,7 @@ def nested_frames(cards: DataFrame, contains: DataFrame, max_rounds: int = 64) -
         .join(edge.select(F.col("id").alias("child")), "child", "left_semi"), "frame-kids")
     pending = stage(kids.select("parent").distinct(), "frame-pending")
     frames = edge.select("id", "x0", "y0", "x1", "y1").limit(0)
-    for n in range(max_rounds):
+    for n in count():
         if pending.isEmpty():
             return frames
         blocked = kids.join(pending.select(F.col("parent").alias("child")), "child", "left_semi")
@@ -177,7 +179,6 @@ def nested_frames(cards: DataFrame, contains: DataFrame, max_rounds: int = 64) -
         frames = frames.unionByName(step)
         pending = stage(pending.join(step.select(F.col("id").alias("parent")), "parent",
                                      "left_anti"), f"frame-pending-{n}")
-    raise RuntimeError("folders are nested deeper than max_rounds")
 
 
 def rect_overlaps(boxes: DataFrame, board: str) -> DataFrame:
@@ -287,7 +288,7 @@ def group_edge_routes(edges: DataFrame, nodes: DataFrame, groups: DataFrame,
         (F.col("source_view") == F.col("target_view")) & F.col("source_view").startswith("group:")
     )).groupBy("id", "source_view", "target_view", "source_port", "target_port").agg(
         F.min("turn").alias("turn"))
-    numbered = top_n(drawn, ["id"], [F.col("turn")], 2**31 - 1, "n")
+    numbered = prefix_ranks(drawn, ["id"], F.col("turn.p"), [F.col("turn")], "n")
     counts = drawn.groupBy("id").agg(F.count(F.lit(1)).alias("routes"))
     out = numbered.join(counts, "id").select(
         F.concat(F.lit("group-edge:"), "id", F.lit(":"), (F.col("n") - 1).cast("string"))
