@@ -1,3 +1,4 @@
+import json
 import random
 
 import pytest
@@ -215,15 +216,31 @@ def test_forwarding_chains(spark):
 def test_export_conditions(spark):
     rows = [("a", '{"import":"./x","default":"./x"}', "require"), ("b", '{"node":"./x"}', "import"),
             ("c", '{"import":"./x"}', "require"), ("d", "null", "import"),
-            ("e", '{"node":"./y","default":"./x"}', "import")]
-    got = spark.createDataFrame(rows, "k string, c string, m string").select(
-        "k", E_out(F.col("c"), F.col("m")).alias("o"))
+            ("e", '{"node":"./y","default":"./x"}', "import"),
+            ("f", '{"node":{"import":null,"default":"./n"},"import":{"x":"./p"},"default":"./q"}',
+             "import"), ("g", '{"0":"./x"}', "import"), ("h", "oops", "import"),
+            ("i", '{"default":{"import":"./x","require":"./y"},"import":"./z"}', "require"),
+            ("j", '{"default":{"import":"./x"},"require":"./z","node":"./w"}', "require"),
+            ("k", '["./x"]', "import"), ("l", "{}", "import")]
+    got = spark.createDataFrame(rows, "k string, c string, m string").withColumn(
+        "e", C.condition_rows("c")).select(
+        "k", C.export_outcomes(F.col("e"), F.col("m")).alias("o"))
     assert {k: list(o) for k, o in got.collect()} == {
         "a": ["./x"], "b": ["!none", "./x"], "c": ["!none"], "d": ["!blocked"],
-        "e": ["./x", "./y"]}
-
-
-E_out = C.export_outcomes
+        "e": ["./x", "./y"], "f": ["!blocked", "./p", "./q"], "g": ["!invalid"],
+        "h": ["!invalid"], "i": ["./y"], "j": ["./z"], "k": ["!invalid"], "l": ["!none"]}
+
+
+def test_export_targets_are_plain_files_of_their_package(spark):
+    outcomes = ["./a.ts", "./d/b.mjs", "./a.d.ts", "./a.json", "./../x.ts", "./n//a.ts", "a.ts",
+                "./Node_Modules/a.js", "./a%20.js", "./sub/own.js", "./gone.ts"]
+    asked = spark.createDataFrame([(o, "p", json.dumps(o), "import") for o in outcomes],
+                                  "request_id string, dir string, conditions string, mode string")
+    files = spark.createDataFrame(
+        [("p/" + o[2:],) for o in outcomes[:-1]] + [("q.ts",)], "path string")
+    homes = spark.createDataFrame([("p",), ("p/sub",), (".",)], "dir string")
+    got = C.exports_condition_converge(asked, files, homes)
+    assert {r for r, t in collect(got, "request_id", "target") if t} == {"./a.ts", "./d/b.mjs"}
 
 
 @pytest.mark.parametrize("text,want", [

@@ -46,7 +46,12 @@ def source_files(spark, sf):
     re-exports it from its nation's module, or imports a missing module."""
     orders = table(spark, sf, "orders").select(
         F.concat(F.lit("pkg/orders/o"), F.col("o_orderkey").cast("string"), F.lit(".py"))
-        .alias("path"), _fill(_ORDER_SOURCE, c=F.col("o_custkey")).alias("text"))
+        .alias("path"), F.col("o_custkey").alias("c"))
+    # Parsing costs far more than the rows that name the files: spread those, not the texts.
+    tasks = max(4 * spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions")))
+    orders = orders.repartition(tasks, "path").select(
+        "path", _fill(_ORDER_SOURCE, c=F.col("c")).alias("text"))
     local = F.lit("def run(x):\n    return x\n")
     forward = _fill("from pkg.base.n{n} import work as run\n", n=F.col("c_nationkey"))
     missing = F.lit("from pkg.base.missing import work as run\n")

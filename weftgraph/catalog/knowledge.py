@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from ..functions.ids import policy_canonical
@@ -9,7 +11,7 @@ from ..functions.paths import normalize_structure_path
 from ..knowledge import annotations as A
 from ..knowledge import structure as X
 from ..operators.paging import page
-from ..plans import rules as R
+from ..plans import state as S
 from ..plans import status as T
 from ..schemas import SCOPE
 from ..sources import knowledge_log as K
@@ -17,7 +19,7 @@ from ..sources import plan_log as L
 from ..sources import records as D
 from ..staging import stage, table
 from .plan_prelude import with_plans
-from .plans import RULE_SQL, _load
+from .plans import RULE_SQL, SUMMARY, _load, issue_summary
 from .registry import query
 
 
@@ -81,9 +83,8 @@ khash AS MATERIALIZED (SELECT project_id, sha256('annotation-review-v1|' || proj
     || d) AS knowledge_hash FROM (SELECT project_id, """ + _mixed("AS d FROM nrows") + r"""
     GROUP BY project_id)),
 oprows AS (SELECT plan_id, sha256(CAST(to_json([CAST(op_index AS VARCHAR), kind,
-    coalesce(temp_id, ''), coalesce(name, ''), coalesce(file_path, ''), coalesce(language, ''),
-    coalesce(node_id, ''), coalesce(relation_id, ''), coalesce(source_id, ''),
-    coalesce(target_id, ''), coalesce(text, '')]) AS VARCHAR)) AS h FROM ops),
+    temp_id, name, file_path, language, signature, description, node_id, relation_id, type,
+    source_id, target_id, text]) AS VARCHAR)) AS h FROM ops),
 shash AS MATERIALIZED (SELECT p.*, CASE WHEN first = 'signup' THEN '' ELSE first END
     AS description, sha256(CAST(to_json([p.plan_id, project_id, title,
       CASE WHEN first = 'signup' THEN '' ELSE first END, 'base', baseline_content_hash, d])
@@ -114,8 +115,8 @@ guarded AS MATERIALIZED (SELECT * EXCLUDE (rn), CASE
 matched AS MATERIALIZED (SELECT g.*, g.has_context AND coalesce(g.knowledge_hash
     = h.knowledge_hash, false) AS knowledge_matches
   FROM guarded g LEFT JOIN khash h ON h.project_id = g.project_id),
-errs AS MATERIALIZED (SELECT DISTINCT plan_id FROM (""" + \
-    RULE_SQL["rule_duplicate_removal"] + " UNION ALL " + RULE_SQL["rule_removed_function"] + r""")),
+""" + SUMMARY.strip() + r""",
+errs AS MATERIALIZED (SELECT plan_id FROM summary WHERE errors > 0),
 pstat0 AS (SELECT s.*, m.revision AS arev, m.semantic_hash AS ahash, context_status,
     knowledge_matches, e.plan_id IS NOT NULL OR coalesce(context_status = 'invalid', false)
       AS has_error,
@@ -129,10 +130,56 @@ pst AS MATERIALIZED (SELECT *, CASE WHEN stale THEN 'stale' WHEN valid THEN 'app
 """
 
 
+# What is reviewed: every third user is careful and keeps only additions of new functions to known
+# files; operations say more than in the plain log; the registry has no policy that the base breaks.
+REVIEW_OPS = """
+ops AS MATERIALIZED (SELECT *, CASE WHEN kind = 'add_function' AND op_index % 2 = 0
+      THEN 'def ' || name || '(x)' END AS signature,
+    CASE op_index % 7 WHEN 0 THEN 'about ' || op_index WHEN 1 THEN '' END AS description,
+    CASE WHEN kind = 'add_relation' THEN ['calls', 'must_call', 'must_reuse'][
+      CAST(op_index % 3 AS INT) + 1] END AS type
+  FROM ops0 WHERE CAST(substring(plan_id, 6) AS BIGINT) % 3 <> 0 OR (kind = 'add_function'
+    AND temp_id LIKE 'temp:%' AND temp_id NOT LIKE 'temp:u%' AND file_path NOT LIKE 'r1/./%'))"""
+
+
 def with_notes(body: str) -> str:
     text = body.strip()
     sep = "\n" if text[:6].upper() == "SELECT" else ",\n"
-    return with_plans(NOTE_CTES.strip() + sep + text)
+    broken = RULE_SQL["rule_invalid_policy_path"]
+    sql = with_plans(NOTE_CTES.strip() + sep + text)
+    for old, new in (
+        ("ops AS MATERIALIZED (\n  SELECT", "ops0 AS MATERIALIZED (\n  SELECT"),
+        ("\nplans AS (SELECT 'plan:'", REVIEW_OPS + ",\nplans AS (SELECT 'plan:'"),
+        ("'r' || n_regionkey AS region", "'none' AS region"),
+        (broken, broken.replace("'shop'", "'other'")),
+    ):
+        assert old in sql, old
+        sql = sql.replace(old, new, 1)
+    return sql.replace("'pkg:1", "'none")
+
+
+def _review(spark, sf):
+    c = _load(spark, sf)
+    i, kind = F.col("op_index"), F.col("kind")
+    careful = F.col("plan_id").substr(6, 20).cast("bigint") % 3 == 0
+    temp, path = F.col("temp_id"), F.col("file_path")
+    plain = ((kind == "add_function") & temp.startswith("temp:") & ~temp.startswith("temp:u")
+             & ~path.startswith("r1/./"))
+    types = F.array(*[F.lit(t) for t in ("calls", "must_call", "must_reuse")])
+    c.ops = c.ops.filter(~careful | plain).withColumns({
+        "signature": F.when((kind == "add_function") & (i % 2 == 0),
+                            F.concat(F.lit("def "), "name", F.lit("(x)"))),
+        "description": F.when(i % 7 == 0, F.concat(F.lit("about "), i.cast("string")))
+        .when(i % 7 == 1, ""),
+        "type": F.when(kind == "add_relation", F.get(types, (i % 3).cast("int"))),
+    })
+    c.state = lru_cache(lambda: S.plan_state(c.ops, c.nodes))
+    region = F.col("id").startswith("pol:r")
+    c.policies = c.policies.withColumn(
+        "project_id", F.when(region, "other").otherwise(F.col("project_id"))).withColumn(
+        "forbidden", F.when(region, F.col("forbidden")).otherwise(
+            F.array(F.lit("none"), F.lit("moved"))))
+    return c
 
 
 def _resolved(spark, sf):
@@ -318,7 +365,7 @@ def knowledge_hash(spark, sf):
 
 # ---- approvals and status ---------------------------------------------------------------------------
 def _hashed(spark, sf):
-    c = _load(spark, sf)
+    c = _review(spark, sf)
     return c, T.semantic_hash(c.plans, c.ops)
 
 
@@ -329,14 +376,11 @@ def _approvals(spark, sf):
 
 
 def _status(spark, sf):
-    """Statuses with the removal rules as the error source."""
+    """Statuses with the errors of all rules."""
     c, plans, knowledge, approvals = _approvals(spark, sf)
     guarded = T.approval_guard(T.latest_approval(approvals))
     matched = T.knowledge_match(guarded, knowledge)
-    state = c.state()
-    errors = R.rule_duplicate_removal(state).unionByName(R.rule_removed_function(state))
-    summary = errors.select("plan_id").distinct().withColumn("has_error", F.lit(True))
-    return c, T.plan_status(plans, matched, c.snapshots, summary), guarded, knowledge
+    return c, T.plan_status(plans, matched, c.snapshots, issue_summary(c)), guarded, knowledge
 
 
 @query("semantic_plan_hash", with_notes("SELECT plan_id, semantic_hash FROM shash"))
@@ -453,10 +497,9 @@ h AS (SELECT p.plan_id, ['# ' || title, 'Current revision: ' || p.revision,
     'Knowledge SHA-256: ' || coalesce(g.knowledge_hash, 'unrecorded'), description] AS t
   FROM pst p LEFT JOIN guarded g ON g.plan_id = p.plan_id)
 SELECT plan_id, CAST(unnest(generate_series(0, 7)) AS BIGINT) AS line, unnest(t) AS text FROM h
-UNION ALL SELECT plan_id, op_index + 8, CAST(to_json([kind, coalesce(temp_id, ''),
-  coalesce(name, ''), coalesce(file_path, ''), coalesce(language, ''), coalesce(node_id, ''),
-  coalesce(relation_id, ''), coalesce(source_id, ''), coalesce(target_id, ''),
-  coalesce(text, '')]) AS VARCHAR) FROM ops"""))
+UNION ALL SELECT plan_id, op_index + 8, CAST(to_json([kind, temp_id, name, file_path, language,
+  signature, description, node_id, relation_id, type, source_id, target_id, text]) AS VARCHAR)
+FROM ops"""))
 def export_plan(spark, sf):
     c, status, guarded, _ = _status(spark, sf)
     return T.export_plan(status, guarded, c.ops)
@@ -473,7 +516,7 @@ SELECT event_id, coalesce(p.plan_id IS NOT NULL AND p.project_id = 'shop', false
   AS current
 FROM i LEFT JOIN plans p ON p.plan_id = i.plan_id AND p.revision = i.revision"""))
 def ownership_intent_match(spark, sf):
-    c = _load(spark, sf)
+    c = _review(spark, sf)
     intents = L.events(spark, sf).filter(F.col("event_type") == "view").select(
         F.lit("shop").alias("project_id"), F.lit("base").alias("snapshot_id"), "plan_id",
         (F.floor(F.col("k") / 10) + 1).alias("revision"), "event_id",

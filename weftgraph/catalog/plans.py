@@ -206,20 +206,29 @@ def validate_plan(spark, sf):
     return _out(_validate(_load(spark, sf)))
 
 
-@query("plan_issue_summary", with_plans(_ALL + """,
-c AS (SELECT plan_id, count(*) FILTER (WHERE severity = 'error') AS e,
+SUMMARY = _ALL + """,
+issue_counts AS (SELECT plan_id, count(*) FILTER (WHERE severity = 'error') AS e,
         count(*) FILTER (WHERE severity = 'warning') AS w FROM issues GROUP BY plan_id),
-x AS (SELECT plan_id, count(*) AS cleared FROM forb WHERE change = 'cleared' GROUP BY plan_id),
-y AS (SELECT p.plan_id, coalesce(w, 0) AS warnings, coalesce(e, 0) + CASE project_id
-        WHEN 'shop' THEN (SELECT count(*) FROM viol) ELSE 0 END - coalesce(cleared, 0) AS errors
-      FROM plans p LEFT JOIN c USING (plan_id) LEFT JOIN x USING (plan_id))
-SELECT *, errors > 0 AS has_error FROM y"""))
-def plan_issue_summary(spark, sf):
-    c = _load(spark, sf)
+clearings AS (SELECT plan_id, count(*) AS cleared FROM forb WHERE change = 'cleared'
+        GROUP BY plan_id),
+summary AS MATERIALIZED (SELECT p.plan_id, coalesce(w, 0) AS warnings, coalesce(e, 0)
+        + CASE project_id WHEN 'shop' THEN (SELECT count(*) FROM viol) ELSE 0 END
+        - coalesce(cleared, 0) AS errors
+      FROM plans p LEFT JOIN issue_counts USING (plan_id) LEFT JOIN clearings USING (plan_id))"""
+
+
+def issue_summary(c):
+    """Errors and warnings per plan from all rules."""
     forbidden = stage(_forbidden(c), "forbidden")
     return R.plan_issue_summary(c.plans, _validate(c, forbidden), forbidden)
 
 
+@query("plan_issue_summary", with_plans(
+    SUMMARY + "\nSELECT *, errors > 0 AS has_error FROM summary"))
+def plan_issue_summary(spark, sf):
+    return issue_summary(_load(spark, sf))
+
+
 @query("schema_issues", with_plans("""
 SELECT plan_id, CAST(NULL AS BIGINT) AS op_index, 'error' AS severity, 'INVALID_INPUT' AS code,
   'title' AS message FROM plans WHERE first = 'signup'

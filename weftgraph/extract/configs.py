@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -13,6 +14,9 @@ from ..staging import stage
 
 # Fixed limits of configuration graphs.
 MAX_PROJECTS, MAX_REFERENCES, MAX_DEPTH = 512, 2048, 16
+MAX_CONDITIONS = 2048
+#: Keys that are paths or array places are no conditions.
+_NO_CONDITION = re.compile(r"\.|(0|[1-9][0-9]*)$")
 
 
 def nearest_ancestor(files: DataFrame, owners: DataFrame) -> DataFrame:
@@ -155,58 +159,122 @@ def exports_pattern_select(requests: DataFrame, exports: DataFrame) -> DataFrame
     return exact.unionByName(wild)
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def export_outcomes(conditions: pd.Series, modes: pd.Series) -> pd.Series:
-    """All targets a condition tree may give for a request mode.
+_ENTRIES = T.ArrayType(T.StructType([
+    T.StructField("parent", T.IntegerType()), T.StructField("name", T.StringType()),
+    T.StructField("kind", T.StringType()), T.StructField("target", T.StringType())]))
 
-    ``!none`` stands for no match, ``!blocked`` for an explicit null, ``!invalid`` for bad input;
-    conditions other than the mode and ``default`` may or may not hold.
+
+@F.pandas_udf(_ENTRIES)
+def condition_rows(conditions: pd.Series) -> pd.Series:
+    """A condition tree as rows, each entry after its parent and its earlier siblings.
+
+    Kinds: ``object``, ``target`` (a text), ``blocked`` (null) and ``invalid``: anything else, keys
+    that are no conditions, entries nested too deep or beyond the budget of one tree.
     """
-    other = {"import": "require", "require": "import"}
-
-    def reach(value, mode, depth):
-        if depth > MAX_DEPTH:
-            return {"!invalid"}
-        if isinstance(value, str):
-            return {value}
-        if value is None:
-            return {"!blocked"}
-        if not isinstance(value, dict) or any(
-                k.startswith(".") or (k.isdigit() and str(int(k)) == k) for k in value):
-            return {"!invalid"}
-        found = set()
-        for name, branch in value.items():
-            if name == other[mode]:
-                continue
-            here = reach(branch, mode, depth + 1)
-            found |= here - {"!none"}
-            if name in ("default", mode) and "!none" not in here:
-                return found
-        return found | {"!none"}
-
-    def one(text, mode):
+
+    def rows(text):
         try:
-            return sorted(reach(json.loads(text), mode, 0))
+            todo = [(-1, None, 0, json.loads(text))]
         except (TypeError, ValueError):
-            return ["!invalid"]
+            return [{"parent": -1, "name": None, "kind": "invalid", "target": None}]
+        out = []
+        while todo:
+            parent, name, depth, value = todo.pop()
+            kind = ("target" if isinstance(value, str) else "blocked" if value is None else
+                    "object" if isinstance(value, dict) else "invalid")
+            if depth > MAX_DEPTH or len(out) >= MAX_CONDITIONS or kind == "object" and any(
+                    _NO_CONDITION.match(k) for k in value):
+                kind = "invalid"
+            if kind == "object":
+                todo += [(len(out), k, depth + 1, v) for k, v in reversed(value.items())]
+            out.append({"parent": parent, "name": name, "kind": kind,
+                        "target": value if kind == "target" else None})
+        return out
 
-    return pd.Series([one(t, m) for t, m in zip(conditions, modes)])
+    return conditions.map(rows)
 
 
-def exports_condition_converge(requests: DataFrame, sources: DataFrame) -> DataFrame:
-    """Whether all outcomes of all request modes give one captured file.
+def _put(array: Column, place: Column, value: Column) -> Column:
+    return F.transform(array, lambda x, i: F.when(i == place, value).otherwise(x))
 
-    ``requests``: request_id, dir, conditions (JSON), mode - one row per mode; ``sources``: path.
+
+def export_outcomes(rows: Column, mode: Column) -> Column:
+    """All targets a condition tree (a column of ``condition_rows``) may give for a request mode.
+
+    ``!none`` stands for no match, ``!blocked`` for an explicit null, ``!invalid`` for bad input;
+    conditions other than the mode and ``default`` may or may not hold.  An entry of the mode or
+    ``default`` that surely gives something hides its later siblings; read backwards, the rows show
+    which entries are sure, read forwards, which ones can be reached.
+    """
+    size = F.size(rows)
+    places = F.sequence(F.lit(0), size - 1)
+    foreign = F.when(mode == "import", "require").otherwise("import")
+    holds = lambda row: row["name"].isNotNull() & ((row["name"] == "default") | (
+        row["name"] == mode))
+    no = F.array_repeat(F.lit(False), size)
+
+    def backwards(sure: Column, i: Column) -> Column:
+        row = F.get(rows, i)
+        # By now an object is sure if one of its entries made it so.
+        gives = (row["kind"] != "object") | F.get(sure, i)
+        marked = _put(sure, i, gives)
+        return F.when(gives & holds(row), _put(marked, row["parent"], F.lit(True))).otherwise(marked)
+
+    sure = F.aggregate(F.reverse(places), no, backwards)
+
+    def forwards(state: Column, i: Column) -> Column:
+        row = F.get(rows, i)
+        here = (row["parent"] < 0) | (
+            F.coalesce(F.get(state["reached"], row["parent"]), F.lit(False))
+            & ~F.coalesce(F.get(state["hidden"], row["parent"]), F.lit(False))
+            & (row["name"] != foreign))
+        hides = here & holds(row) & F.get(sure, i)
+        return F.struct(
+            _put(state["reached"], i, here).alias("reached"),
+            F.when(hides, _put(state["hidden"], row["parent"], F.lit(True))).otherwise(
+                state["hidden"]).alias("hidden"))
+
+    reached = F.aggregate(places, F.struct(no.alias("reached"), no.alias("hidden")), forwards,
+                          lambda s: s["reached"])
+    ends = F.transform(F.filter(places, lambda i: F.get(reached, i) & (
+        F.get(rows, i)["kind"] != "object")), lambda i: F.get(rows, i))
+    named = F.transform(ends, lambda r: F.when(r["kind"] == "target", r["target"]).otherwise(
+        F.concat(F.lit("!"), r["kind"])))
+    none = F.when(F.get(sure, F.lit(0)), F.array().cast("array<string>")).otherwise(
+        F.array(F.lit("!none")))
+    return F.array_sort(F.array_distinct(F.concat(named, none)))
+
+
+def export_target(directory: Column, outcome: Column) -> Column:
+    """Path of an outcome below its package, or null if it names no plain implementation file."""
+    inner = F.substr(outcome, F.lit(3))
+    plain = (outcome.startswith("./") & ~outcome.rlike(r"[\\%?#:*]")
+             & ~F.lower(inner).rlike(r"(^|/)(\.{0,2}|node_modules)(/|$)")
+             & inner.rlike(r"\.([cm]?[jt]s|[jt]sx)$") & ~inner.rlike(r"\.d\.[cm]?ts$"))
+    return F.when(plain, F.when(directory == ".", inner).otherwise(
+        F.concat_ws("/", directory, inner)))
+
+
+def exports_condition_converge(requests: DataFrame, sources: DataFrame,
+                               packages: DataFrame | None = None) -> DataFrame:
+    """Whether all outcomes of all request modes give one captured file of the package itself.
+
+    ``requests``: request_id, dir, conditions (JSON), mode - one row per mode; ``sources``: path;
+    ``packages``: dir of every manifest (those of the requests if not given).
     """
-    rows = requests.withColumn("outcome", F.explode(export_outcomes("conditions", "mode")))
-    inside = F.col("outcome").startswith("./")
-    path = F.when(inside, F.when(F.col("dir") == ".", F.substr("outcome", F.lit(3))).otherwise(
-        F.concat_ws("/", "dir", F.substr("outcome", F.lit(3)))))
-    rows = rows.withColumn("path", path).join(
-        sources.select("path", F.lit(True).alias("captured")).distinct(), "path", "left")
+    rows = requests.withColumn("entries", condition_rows("conditions")).withColumn(
+        "outcome", F.explode(export_outcomes(F.col("entries"), F.col("mode")))).drop("entries")
+    rows = rows.withColumn("path", export_target(F.col("dir"), F.col("outcome")))
+    owners = (requests if packages is None else packages).select(
+        "dir", F.col("dir").alias("owner")).distinct()
+    captured = sources.select("path").distinct()
+    nearest = nearest_ancestor(captured, owners).select("path", "owner")
+    owned = captured.join(nearest, "path", "left").select("path", "owner", F.lit(True).alias("found"))
+    rows = rows.join(owned, "path", "left")
+    fits = F.coalesce(F.col("found") & (F.col("owner") == F.col("dir")), F.lit(False))
     per = rows.groupBy("request_id").agg(
         F.min("path").alias("low"), F.max("path").alias("high"),
-        F.bool_and(F.coalesce("captured", F.lit(False))).alias("all_captured"),
+        F.bool_and(fits).alias("all_captured"),
         F.bool_or(F.col("outcome").startswith("!")).alias("blocked"))
     reason = (
         F.when(F.col("blocked"), "blocked, invalid or unmatched")
