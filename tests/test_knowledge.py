@@ -152,3 +152,26 @@ def test_capture_touches_both_ways(spark):
     got = A.capture_unavailable(paths, coverage(spark, [("unavailable", "a/b")]),
                                 diagnostics(spark, ["zz"]), snapshots(spark))
     assert collect(got.filter(F.col("unavailable")), "path") == [("a",), ("a/b",)]
+
+
+@pytest.mark.parametrize("old,new", [
+    ('"own":{"k":1}', '"own":{"k":2}'),
+    ('"own":{"k":1}', '"x-graph":{"legacyPathPolicies":[{"id":"p","forbiddenDependencies":["a"]}]}'),
+    ('"folders":[]', '"folders":[{"path":"a","purpose":"p","extra":1}]'),
+])
+def test_canonical_structure_takes_the_whole_document(spark, old, new):
+    changed = GOOD.replace(old, new)
+    again = changed.replace('"schemaVersion":1,', "", 1).replace("}", ',"schemaVersion":1}') \
+        if new.startswith('"x') else changed
+    rows = dict(collect(X.structure_canonical(_files(spark, GOOD, changed, again)), "project_id",
+                        "semantic_digest"))
+    assert len({rows["0"], rows["1"]}) == 2
+
+
+def test_edits_of_invalid_documents_are_refused(spark):
+    current = spark.createDataFrame([("a", "src", "{}")], "project_id string, path string, body string")
+    ops = spark.createDataFrame([("a", "lib", None, "p"), ("b", "lib", None, "p")],
+                                "project_id string, path string, previous_path string, purpose string")
+    bad = spark.createDataFrame([("b",), ("b",)], "project_id string")
+    assert collect(X.structure_apply(current, ops, bad), "project_id", "outcome") == [
+        ("a", "added"), ("b", "DOCUMENT_INVALID")]

@@ -228,3 +228,31 @@ def test_routes(spark, base):
         ("r1", 2, "INVALID_CALL_CHAIN"), ("r1", 2, "INVALID_RELATION"),
         ("r2", -1, "PROJECT_MISMATCH"), ("r2", -1, "SNAPSHOT_MISMATCH"),
         ("r2", 0, "INVALID_ENDPOINT")]
+
+
+def test_every_operation_field_changes_the_plan_hash(spark):
+    from weftgraph.plans.status import OPERATION_FIELDS, semantic_hash
+
+    base = dict.fromkeys(OPERATION_FIELDS, "x")
+    plans = [("0", "p", "t", "d", "s", "h")]
+    rows = [{**base, "plan_id": "0", "op_index": 0}]
+    for n, field in enumerate(OPERATION_FIELDS):
+        for value in ("y", "", None):
+            key = f"{n}-{value}"
+            plans.append((key, "p", "t", "d", "s", "h"))
+            rows.append({**base, "plan_id": key, "op_index": 0, field: value})
+    kinds = ", ".join(f"{c} string" for c in OPERATION_FIELDS) + ", plan_id string, op_index long"
+    names = [c.split()[0] for c in kinds.split(", ")]
+    ops = spark.createDataFrame([tuple(r[c] for c in names) for r in rows], kinds)
+    head = spark.createDataFrame(plans, "plan_id string, project_id string, title string, "
+                                 "description string, baseline_snapshot_id string, "
+                                 "baseline_content_hash string")
+    # One plan id for all, so that only the operation differs.
+    got = semantic_hash(head, ops).select("plan_id", "semantic_hash").collect()
+    assert len({r["semantic_hash"] for r in got}) == len(rows)
+    one = ops.withColumn("plan_id", F.lit("0"))
+    digests = {semantic_hash(head.where("plan_id = '0'"), one.where(F.to_json(F.array(
+        *OPERATION_FIELDS)) == F.lit(j))).first()["semantic_hash"]
+        for j in [r["j"] for r in ops.select(F.to_json(F.array(*OPERATION_FIELDS)).alias("j"))
+                  .limit(7).collect()]}
+    assert len(digests) == 7

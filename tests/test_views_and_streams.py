@@ -187,3 +187,18 @@ def test_late_rows_are_dropped_after_the_watermark(spark):
     out = T.run_to_table(rate, "late-test")
     assert [(str(s)[11:16], n) for s, n in collect(out, "start", "changes")] == [
         ("00:00", 1), ("05:00", 1), ("06:00", 1)]
+
+
+def test_members_meet_the_current_snapshot_of_their_project(spark):
+    members = spark.createDataFrame(
+        [("p", "g", "a", "s2"), ("p", "g", "b", "s1"), ("p", "g", "c", "s2"), ("q", "g", "a", "s1")],
+        "project_id string, group_id string, id string, snapshot_id string")
+    nodes = spark.createDataFrame(
+        [(p, s, i, "function") for p, s, i in [
+            ("p", "s1", "a"), ("p", "s2", "a"), ("p", "s2", "b"), ("p", "s1", "c"), ("q", "s1", "a")]],
+        "project_id string, snapshot_id string, id string, kind string")
+    current = spark.createDataFrame([("p", "s2"), ("q", "s1")],
+                                    "project_id string, snapshot_id string")
+    got = V.member_bindings(members, nodes, current)
+    assert collect(got, "id", "status") == [
+        ("a", "bound"), ("a", "bound"), ("b", "snapshot-changed"), ("c", "missing")]

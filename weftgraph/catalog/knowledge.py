@@ -544,14 +544,19 @@ def structure_validate(spark, sf):
 
 
 @query("structure_canonical", _FILES + """,
-f AS (SELECT *, 'src/c' || c_custkey || '|' || c_name || '|["a","b"]|null' AS f1,
-  CASE seg WHEN 'MACHINERY' THEN 'shared|["a","b"]|null' WHEN 'HOUSEHOLD' THEN
-    'src/c' || c_custkey || '|shared|["a","b"]|null'
-    ELSE 'lib/n' || c_nationkey || '|shared|["a","b"]|null' END AS f2,
-  CASE WHEN seg = 'FURNITURE' THEN '' ELSE 'src/**|c' || c_custkey || '|["app","lib"]' END AS r
+f AS (SELECT *, CAST(to_json(['src/c' || c_custkey, '["a","b"]', NULL,
+    '{"note":1,"purpose":"' || c_name || '"}']) AS VARCHAR) AS f1,
+  CAST(to_json([CASE seg WHEN 'MACHINERY' THEN NULL WHEN 'HOUSEHOLD' THEN 'src/c' || c_custkey
+      ELSE 'lib/n' || c_nationkey END, '["a","b"]', NULL, '{"note":1,"purpose":"shared"}'])
+    AS VARCHAR) AS f2,
+  CASE WHEN seg = 'FURNITURE' THEN '' ELSE CAST(to_json(['src/**', '["app","lib"]',
+    '{"reason":"c' || c_custkey || '"}']) AS VARCHAR) END AS r,
+  '{"schemaVersion":' || CASE WHEN seg = 'FURNITURE' THEN '2' ELSE '1' END
+    || ',"x-graph":{"legacyPathPolicies":[{"forbiddenDependencies":["z/","a"],"id":"pol:n'
+    || c_nationkey || '","pathPrefix":"lib/","purpose":"p"}],"schemaVersion":1}}' AS others
   FROM s WHERE seg <> 'AUTOMOBILE')
-SELECT project_id, sha256(least(f1, f2) || chr(10) || greatest(f1, f2) || chr(10) || '--' ||
-  chr(10) || r) AS semantic_digest FROM f""")
+SELECT project_id, sha256(concat_ws(chr(10) || '--' || chr(10), least(f1, f2) || chr(10)
+  || greatest(f1, f2), r, others)) AS semantic_digest FROM f""")
 def structure_canonical(spark, sf):
     return X.structure_canonical(K.structure_files(spark, sf))
 
@@ -572,8 +577,7 @@ def _canonical():
 
 
 @query("structure_apply", _FILES + """,
-g AS (SELECT *, 'src/c' || c_custkey AS mine, 'lib/n' || c_nationkey AS lib FROM s
-      WHERE seg IN ('BUILDING', 'FURNITURE')),
+g AS (SELECT *, 'src/c' || c_custkey AS mine, 'lib/n' || c_nationkey AS lib FROM s),
 o AS (SELECT project_id, 'new/' || c_custkey AS path, NULL AS previous_path, 'added' AS outcome,
         'new/' || c_custkey AS new_path FROM g
   UNION ALL SELECT project_id, mine || '/', NULL, 'TARGET_EXISTS', NULL FROM g
@@ -582,9 +586,11 @@ o AS (SELECT project_id, 'new/' || c_custkey AS path, NULL AS previous_path, 'ad
   UNION ALL SELECT project_id, mine, mine, 'updated', mine FROM g
   UNION ALL SELECT project_id, 'x', 'nowhere', 'SOURCE_MISSING', NULL FROM g
   UNION ALL SELECT project_id, '../x', NULL, 'INVALID_PATH', NULL FROM g)
-SELECT project_id, path, previous_path, outcome, new_path FROM o""")
+SELECT project_id, path, previous_path,
+  CASE WHEN seg = 'BUILDING' THEN outcome ELSE 'DOCUMENT_INVALID' END AS outcome,
+  CASE WHEN seg = 'BUILDING' THEN new_path END AS new_path FROM o JOIN s USING (project_id)""")
 def structure_apply(spark, sf):
-    files = K.structure_files(spark, sf).filter(F.col("c_mktsegment").isin("BUILDING", "FURNITURE"))
+    files = K.structure_files(spark, sf)
     parsed = X.parse_structure(files)
     current = X.folders(parsed).select("project_id", "path", F.to_json("f").alias("body"))
     mine = F.concat(F.lit("src/"), "project_id")
@@ -596,7 +602,7 @@ def structure_apply(spark, sf):
         row(F.lit("moved"), F.concat(F.lit("./"), mine)), row(lib, mine), row(mine, mine),
         row(F.lit("x"), F.lit("nowhere")), row(F.lit("../x"), F.lit(None)),
     )).alias("o")).select("project_id", "o.*")
-    return X.structure_apply(current, ops).select(
+    return X.structure_apply(current, ops, X.structure_validate(files)).select(
         "project_id", "path", "previous_path", "outcome", "new_path")
 
 

@@ -320,8 +320,10 @@ FROM r LEFT JOIN nodes n ON n.id = r.id WHERE position BETWEEN 21 AND 40"""))
 def member_bindings(spark, sf):
     _, members = _group_tables(spark, sf)
     seen = members.distinct().withColumn(
-        "snapshot_id", F.when(F.col("group_id").startswith("b:"), "full").otherwise("old"))
-    return V.member_bindings(seen, star_graph(spark, sf).nodes, 20, 20)
+        "snapshot_id", F.when(F.col("group_id").startswith("b:"), "full").otherwise("old")
+    ).withColumn("project_id", F.lit("shop"))
+    graph = star_graph(spark, sf)
+    return V.member_bindings(seen, graph.nodes, graph.snapshots, 20, 20)
 
 
 @query("group_change_detect", with_graph(_GRP + """

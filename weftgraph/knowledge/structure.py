@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.ids import digest, make_id
+from ..functions.ids import canonical_json, digest, make_id
 from ..functions.paths import normalize_structure_path
 from ..operators.paging import page
 
 EXTENSION = "x-graph"
+# Fixed size of a structure file.
+MAX_BYTES = 1 << 20
 
 
 def _type(value: Column) -> Column:
@@ -126,38 +128,51 @@ def structure_validate(files: DataFrame, extension: str = EXTENSION) -> DataFram
     return out
 
 
+def _others(value: Column, *keys: str) -> Column:
+    """Canonical JSON of an object without some of its keys."""
+    entries = F.map_filter(value.cast("map<string,variant>"), lambda k, _: ~k.isin(*keys))
+    return canonical_json(F.to_json(entries))
+
+
 def structure_canonical(files: DataFrame) -> DataFrame:
-    """Order-free semantic digest of each valid document.
+    """Order-free semantic digest of each valid document, all of it.
 
-    Folders, rules and the rest of the document are normalized as JSON texts with sorted arrays,
-    sorted among themselves, then hashed; a document is one file of at most a megabyte.
+    Folders and rules are normalized as JSON texts with sorted sets beside their remaining keys, and
+    sorted among themselves; everything else in the document, known or not, enters with sorted keys.
+    Documents beyond a megabyte are no structure files and have no digest.
     """
-    parsed = parse_structure(files).filter(F.col("doc").isNotNull())
+    parsed = parse_structure(files.filter(F.octet_length("text") <= MAX_BYTES)).filter(
+        F.col("doc").isNotNull())
 
     def sorted_set(value: Column, path: str) -> Column:
-        listed = F.array_sort(F.array_distinct(F.try_variant_get(value, path, "array<string>")))
-        return F.coalesce(F.to_json(listed), F.lit("null"))
-
-    fold = folders(parsed).groupBy("project_id").agg(F.array_sort(F.collect_list(F.concat_ws(
-        "|", "path", "purpose", sorted_set(F.col("f"), "$.allowed"),
-        sorted_set(F.col("f"), "$.forbidden"),
-    ))).alias("folders"))
-    rule = dependency_rules(parsed).groupBy("project_id").agg(F.array_sort(F.collect_list(
-        F.concat_ws("|", "source", "reason",
-                    F.to_json(F.array_sort(F.array_distinct("must_not_import")))))).alias("rules"))
+        return F.to_json(F.array_sort(F.array_distinct(
+            F.try_variant_get(value, path, "array<string>"))))
+
+    def lines(rows: DataFrame, item: str, name: str, *parts: Column, keys: list[str]) -> DataFrame:
+        rows = rows.withColumn("others", _others(F.col(item), *keys))
+        return rows.groupBy("project_id").agg(F.array_join(F.array_sort(F.collect_list(F.to_json(
+            F.array(*parts, F.col("others"))))), "\n").alias(name))
+
+    f = F.col("f")
+    fold = lines(folders(parsed), "f", "folders", F.col("path"), sorted_set(f, "$.allowed"),
+                 sorted_set(f, "$.forbidden"), keys=["path", "allowed", "forbidden"])
+    rule = lines(dependency_rules(parsed), "r", "rules", F.col("source"), F.to_json(F.array_sort(
+        F.array_distinct("must_not_import"))), keys=["from", "mustNotImport"])
+    rest = parsed.select("project_id", _others(
+        F.col("doc"), "folders", "dependencyRules").alias("others"))
     return (
-        parsed.select("project_id").join(fold, "project_id", "left")
-        .join(rule, "project_id", "left")
+        rest.join(fold, "project_id", "left").join(rule, "project_id", "left")
         .select("project_id", digest(F.concat_ws(
-            "\n", F.coalesce(F.array_join("folders", "\n"), F.lit("")), F.lit("--"),
-            F.coalesce(F.array_join("rules", "\n"), F.lit("")),
+            "\n--\n", F.coalesce("folders", F.lit("")), F.coalesce("rules", F.lit("")), "others",
         )).alias("semantic_digest"))
     )
 
 
-def structure_apply(current: DataFrame, operations: DataFrame) -> DataFrame:
+def structure_apply(current: DataFrame, operations: DataFrame, problems: DataFrame) -> DataFrame:
     """Folder upserts against current folders: resulting row or a conflict.
 
+    A project whose document has ``problems`` (project_id) takes no operation.
+
     ``current``: project_id, path (normalized), body.  ``operations``: project_id, path,
     previous_path, purpose.  A rename keeps the unknown keys of the renamed folder.
     """
@@ -169,7 +184,9 @@ def structure_apply(current: DataFrame, operations: DataFrame) -> DataFrame:
                             F.col("body").alias("old_body"), F.lit(True).alias("has_source"))
     taken = current.select("project_id", F.col("path").alias("to_path"),
                            F.lit(True).alias("occupied"))
-    rows = ops.join(source, ["project_id", "from_path"], "left").join(
+    bad = problems.select("project_id", F.lit(True).alias("bad")).distinct()
+    valid = ops.join(bad, "project_id", "left_anti")
+    rows = valid.join(source, ["project_id", "from_path"], "left").join(
         taken, ["project_id", "to_path"], "left")
     renames = F.col("from_path").isNotNull()
     outcome = (
@@ -179,12 +196,16 @@ def structure_apply(current: DataFrame, operations: DataFrame) -> DataFrame:
                                               F.lit(False)), "TARGET_EXISTS")
         .otherwise(F.when(renames, "updated").otherwise("added"))
     )
+    none = F.lit(None).cast("string")
+    refused = ops.join(bad, "project_id").select(
+        *operations.columns, F.lit("DOCUMENT_INVALID").alias("outcome"), none.alias("new_path"),
+        none.alias("kept_body"))
     return rows.select(
         *operations.columns, outcome.alias("outcome"),
         F.when(outcome.isin("updated", "added"), F.when(F.col("to_path") == "", ".").otherwise(
             F.col("to_path"))).alias("new_path"),
         F.when(outcome == "updated", F.col("old_body")).alias("kept_body"),
-    )
+    ).unionByName(refused)
 
 
 def project_policies(parsed: DataFrame) -> DataFrame:

@@ -315,16 +315,19 @@ def circle_functions(view: DataFrame) -> DataFrame:
         "id").dropDuplicates(["id"])
 
 
-def member_bindings(members: DataFrame, nodes: DataFrame, offset: int = 0,
+def member_bindings(members: DataFrame, nodes: DataFrame, current: DataFrame, offset: int = 0,
                     limit: int = 20) -> DataFrame:
     """A page of each group's members: bound, missing, or asked for in another snapshot.
 
-    ``members``: group_id, id, snapshot_id; ``nodes``: id, kind, snapshot_id.
+    ``members``: project_id, group_id, id, snapshot_id; ``nodes``: project_id, snapshot_id, id, kind
+    of any snapshots; ``current``: the current snapshot of each project.
     """
-    rows = top_n(members, ["group_id"], [F.col("id")], offset + limit).filter(
+    rows = top_n(members, ["project_id", "group_id"], [F.col("id")], offset + limit).filter(
         F.col("position") > offset)
-    here = nodes.select("id", F.col("snapshot_id").alias("current_id"), "kind").distinct()
-    return rows.join(here, "id", "left").select(
+    now = current.select("project_id", "snapshot_id").distinct()
+    here = nodes.join(now, ["project_id", "snapshot_id"], "left_semi").select(
+        "project_id", "id", F.col("snapshot_id").alias("current_id"), "kind").distinct()
+    return rows.join(here, ["project_id", "id"], "left").select(
         "group_id", "id", "position",
         F.when(F.col("current_id").isNull(), "missing")
         .when(F.col("current_id") != F.col("snapshot_id"), "snapshot-changed")
