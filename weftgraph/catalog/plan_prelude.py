@@ -178,8 +178,8 @@ be AS (SELECT * FROM bound WHERE enforce AND NOT removing),
 bo AS (SELECT * FROM bound WHERE NOT enforce AND NOT removing),
 v_add AS (SELECT o.plan_id, o.op_index, CASE WHEN uncertain THEN 'unknown' WHEN n > 0
     THEN 'satisfied' ELSE 'unmet' END AS status, CASE WHEN uncertain
-    THEN 'Function binding or analysis is ambiguous.' WHEN n > 0
-    THEN 'Planned function exists at the target path.' ELSE 'Planned function was not found.' END
+    THEN 'function not bound for certain' WHEN n > 0
+    THEN 'found at the planned path' ELSE 'not at the planned path' END
     AS message, CASE WHEN NOT uncertain AND n > 0 THEN found_at END AS evidence
   FROM ops o JOIN be b ON b.plan_id = o.plan_id AND b.id = o.temp_id
   WHERE o.kind = 'add_function'),
@@ -197,14 +197,14 @@ mv2 AS (SELECT *, changed AND CASE WHEN was_added THEN old_n > 0 ELSE still END
   uncertain OR (changed AND hid) AS unk FROM mv1),
 v_move AS (SELECT plan_id, op_index, CASE WHEN unk THEN 'unknown' WHEN n > 0 AND NOT old
     THEN 'satisfied' ELSE 'unmet' END AS status, CASE WHEN unk
-    THEN 'Moved function binding or analysis is ambiguous.' WHEN n > 0 AND NOT old
-    THEN 'Function is located at the planned destination.'
-    ELSE 'The required move was not established.' END AS message,
+    THEN 'moved function not bound for certain' WHEN n > 0 AND NOT old
+    THEN 'moved as planned'
+    ELSE 'move not seen' END AS message,
     CASE WHEN NOT unk THEN found_at END AS evidence FROM mv2),
 v_remove AS (SELECT o.plan_id, o.op_index, CASE WHEN uncertain THEN 'unknown' WHEN n > 0
     THEN 'unmet' ELSE 'satisfied' END AS status, CASE WHEN uncertain
-    THEN 'Symbol binding or analysis cannot establish removal.' WHEN n > 0
-    THEN 'The function still exists.' ELSE 'The function is absent from indexed source.' END
+    THEN 'removal cannot be told' WHEN n > 0
+    THEN 'function still there' ELSE 'function gone' END
     AS message, CASE WHEN NOT uncertain THEN found_at END AS evidence
   FROM ops o JOIN bound b ON b.plan_id = o.plan_id AND b.id = o.node_id AND removing
   WHERE o.kind = 'remove_function'),
@@ -235,17 +235,17 @@ rc3 AS (SELECT *, CASE WHEN rem AND (tid IS NULL OR coalesce(bres, 'unresolved')
     WHEN ot IS NOT NULL THEN 4 ELSE 5 END AS step FROM rc2),
 v_relation AS (SELECT plan_id, op_index, CASE WHEN step IN (0, 1, 4) THEN 'unknown'
     WHEN (step = 3) <> rem THEN 'satisfied' ELSE 'unmet' END AS status,
-    CASE step WHEN 0 THEN 'The baseline relation has unresolved endpoints.'
-      WHEN 1 THEN 'Symbol binding or analysis is ambiguous.'
-      WHEN 2 THEN 'A required endpoint is absent from the current indexed source.'
-      WHEN 3 THEN CASE WHEN rem THEN 'The original relation still exists.'
-        ELSE 'The required relation exists.' END
-      WHEN 4 THEN 'Dynamic or unresolved relations prevent a definitive absence check.'
-      ELSE CASE WHEN rem THEN 'The original relation is absent.'
-        ELSE 'No direct call to the required target was found.' END END AS message,
+    CASE step WHEN 0 THEN 'baseline relation without known ends'
+      WHEN 1 THEN 'an end is not bound for certain'
+      WHEN 2 THEN 'an end is gone'
+      WHEN 3 THEN CASE WHEN rem THEN 'relation still there'
+        ELSE 'relation found' END
+      WHEN 4 THEN 'open calls may hide the relation'
+      ELSE CASE WHEN rem THEN 'relation gone'
+        ELSE 'no such call' END END AS message,
     CASE step WHEN 3 THEN ft WHEN 4 THEN ot WHEN 5 THEN sat END AS evidence FROM rc3),
 v_annotate AS (SELECT plan_id, op_index, 'unknown' AS status,
-    'Annotation semantics require human review.' AS message, CAST(NULL AS VARCHAR) AS evidence
+    'for a reader to judge' AS message, CAST(NULL AS VARCHAR) AS evidence
   FROM ops WHERE kind = 'annotate'),
 report AS (SELECT * FROM v_add UNION ALL SELECT * FROM v_move UNION ALL SELECT * FROM v_remove
   UNION ALL SELECT * FROM v_relation UNION ALL SELECT * FROM v_annotate)

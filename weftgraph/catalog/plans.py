@@ -43,38 +43,38 @@ def _sql_issue(code, message, body, index="op_index", severity="error"):
 
 RULE_SQL = {
     "rule_project_mismatch": _sql_issue(
-        "PROJECT_MISMATCH", "'Plan and snapshot belong to different projects.'",
+        "PROJECT_MISMATCH", "'plan of another project than the snapshot'",
         "FROM plans o WHERE project_id <> 'shop'", "NULL"),
     "rule_baseline_mismatch": _sql_issue(
-        "BASELINE_MISMATCH", "'Plan baseline differs from the supplied snapshot.'",
+        "BASELINE_MISMATCH", "'plan made on another baseline'",
         "FROM plans o WHERE baseline_content_hash <> 'hash-base'", "NULL"),
     "rule_duplicate_node": _sql_issue(
-        "DUPLICATE_NODE", "'Node ' || temp_id || ' already exists.'",
+        "DUPLICATE_NODE", "'id ' || temp_id || ' is taken'",
         """FROM ops o WHERE kind = 'add_function' AND NOT EXISTS (SELECT 1 FROM added a
            WHERE a.plan_id = o.plan_id AND a.id = o.temp_id AND a.op_index = o.op_index)"""),
     "rule_invalid_function": _sql_issue(
-        "INVALID_FUNCTION", "'Function ' || node_id || ' does not exist.'",
+        "INVALID_FUNCTION", "'no function ' || node_id",
         """FROM ops o WHERE kind IN ('move_function', 'remove_function') AND NOT EXISTS (
            SELECT 1 FROM known k WHERE k.plan_id = o.plan_id AND k.id = o.node_id
            AND k.kind = 'function')"""),
     "rule_invalid_relation": _sql_issue(
-        "INVALID_RELATION", "'Relation ' || relation_id || ' does not exist.'",
+        "INVALID_RELATION", "'no relation ' || relation_id",
         """FROM ops o WHERE kind = 'remove_relation' AND NOT EXISTS (SELECT 1 FROM br
            WHERE br.id = o.relation_id)"""),
     "rule_duplicate_removal": _sql_issue(
-        "DUPLICATE_REMOVAL", "'Function ' || node_id || ' is removed more than once.'",
+        "DUPLICATE_REMOVAL", "'function ' || node_id || ' removed again'",
         """FROM ops o JOIN gone g ON g.plan_id = o.plan_id AND g.id = o.node_id
            WHERE o.kind = 'remove_function' AND o.op_index > removed_at""", "o.op_index")
     + " UNION ALL " + _sql_issue(
-        "DUPLICATE_REMOVAL", "'Relation ' || relation_id || ' is removed more than once.'",
+        "DUPLICATE_REMOVAL", "'relation ' || relation_id || ' removed again'",
         """FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, relation_id
              ORDER BY op_index) AS nth FROM ops WHERE kind = 'remove_relation') o WHERE nth > 1"""),
     "rule_removed_function": _sql_issue(
-        "REMOVED_FUNCTION", "'Cannot move removed function ' || node_id || '.'",
+        "REMOVED_FUNCTION", "'function ' || node_id || ' moves although it is removed'",
         """FROM ops o JOIN gone g ON g.plan_id = o.plan_id AND g.id = o.node_id
            WHERE o.kind = 'move_function'""", "o.op_index"),
     "rule_invalid_target": _sql_issue(
-        "INVALID_TARGET", "'Annotation target ' || target_id || ' does not exist.'",
+        "INVALID_TARGET", "'nothing to annotate at ' || target_id",
         """FROM ops o WHERE kind = 'annotate'
            AND NOT EXISTS (SELECT 1 FROM alive a WHERE a.plan_id = o.plan_id
                            AND a.id = o.target_id)
@@ -85,29 +85,27 @@ RULE_SQL = {
              AND NOT EXISTS (SELECT 1 FROM ops x WHERE x.plan_id = o.plan_id
                  AND x.kind = 'remove_relation' AND x.relation_id = o.target_id))"""),
     "rule_duplicate_relation": _sql_issue(
-        "DUPLICATE_RELATION", "'Relation ' || relation_id || ' already exists.'",
+        "DUPLICATE_RELATION", "'relation id ' || relation_id || ' is taken'",
         """FROM (SELECT *, row_number() OVER (PARTITION BY plan_id, relation_id
              ORDER BY op_index) AS nth FROM ops WHERE kind = 'add_relation') o
            WHERE nth > 1 OR relation_id IN (SELECT id FROM br)"""),
     "rule_invalid_endpoint": _sql_issue(
-        "INVALID_ENDPOINT", "'Planned calls require an existing function source and function or "
-        "external target.'",
+        "INVALID_ENDPOINT", "'a call needs a function and a callable'",
         """FROM ops o LEFT JOIN alive s ON s.plan_id = o.plan_id AND s.id = o.source_id
            LEFT JOIN alive t ON t.plan_id = o.plan_id AND t.id = o.target_id
            WHERE o.kind = 'add_relation' AND NOT (coalesce(s.kind, '') = 'function'
              AND coalesce(t.kind, '') IN ('function', 'external'))""", "o.op_index"),
     "rule_compatibility_unknown": _sql_issue(
-        "COMPATIBILITY_UNKNOWN", "'Interface compatibility is unknown; arguments, return values, "
-        "and possible adaptation require human review.'",
+        "COMPATIBILITY_UNKNOWN", "'a reader must judge whether the call fits'",
         """FROM ops o JOIN alive s ON s.plan_id = o.plan_id AND s.id = o.source_id
            JOIN alive t ON t.plan_id = o.plan_id AND t.id = o.target_id
            WHERE o.kind = 'add_relation' AND s.kind = 'function'
              AND t.kind IN ('function', 'external')""", "o.op_index", "warning"),
     "rule_invalid_policy_path": _sql_issue(
-        "INVALID_POLICY_PATH", "'Directory policy pol:r' || r_regionkey || ' contains an invalid "
-        "path.'", "FROM plans o, region WHERE project_id = 'shop'", "NULL"),
+        "INVALID_POLICY_PATH", "'policy pol:r' || r_regionkey || ' names a path outside the tree'",
+        "FROM plans o, region WHERE project_id = 'shop'", "NULL"),
     "rule_forbidden_planned": _sql_issue(
-        "FORBIDDEN_DEPENDENCY", "'Relation violates directory policy ' || policy_id || '.'",
+        "FORBIDDEN_DEPENDENCY", "'forbidden by policy ' || policy_id",
         f"""FROM ops o JOIN plans pl ON pl.plan_id = o.plan_id AND pl.project_id = 'shop'
            JOIN alive s ON s.plan_id = o.plan_id AND s.id = o.source_id
            JOIN alive t ON t.plan_id = o.plan_id AND t.id = o.target_id
@@ -192,8 +190,8 @@ def rule_forbidden_existing(spark, sf):
 
 
 _ALL = _VIOLATIONS + ",\nissues AS (" + " UNION ALL ".join(RULE_SQL.values()) + """
-  UNION ALL SELECT plan_id, NULL, 'error', 'FORBIDDEN_DEPENDENCY', 'Existing relation ' ||
-    relation_id || ' violates directory policy ' || policy_id || '.' FROM forb
+  UNION ALL SELECT plan_id, NULL, 'error', 'FORBIDDEN_DEPENDENCY', 'present relation ' ||
+    relation_id || ' is forbidden by policy ' || policy_id FROM forb
     WHERE change = 'introduced')"""
 
 

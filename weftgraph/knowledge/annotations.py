@@ -88,9 +88,9 @@ def resolve_annotations(notes: DataFrame, snapshot_id: str, nodes: DataFrame,
     return joined.select(
         *notes.columns, "snapshot_id", status.alias("status"),
         F.when(F.col("binding_state") == "bound", F.when(
-            F.col("indexed").isNull(), "Indexed project snapshot is unavailable."
+            F.col("indexed").isNull(), "no snapshot of the project"
         ).when(F.coalesce("unavailable", F.lit(True)),
-               "Capture cannot establish this target's presence or absence.")).alias("reason"),
+               "capture cannot tell whether the target is there")).alias("reason"),
     )
 
 

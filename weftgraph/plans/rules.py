@@ -33,7 +33,7 @@ def rule_project_mismatch(plans: DataFrame, snapshots: DataFrame) -> DataFrame:
         snapshots.withColumnRenamed("project_id", "against"), "snapshot_id"
     ).filter(F.col("project_id") != F.col("against"))
     return _issues(rows, "PROJECT_MISMATCH",
-                   F.lit("Plan and snapshot belong to different projects."))
+                   F.lit("plan of another project than the snapshot"))
 
 
 def rule_baseline_mismatch(plans: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -42,14 +42,14 @@ def rule_baseline_mismatch(plans: DataFrame, snapshots: DataFrame) -> DataFrame:
         | (F.col("baseline_content_hash") != F.col("content_hash"))
     )
     return _issues(rows, "BASELINE_MISMATCH",
-                   F.lit("Plan baseline differs from the supplied snapshot."))
+                   F.lit("plan made on another baseline"))
 
 
 def rule_duplicate_node(state: PlanState) -> DataFrame:
     """Additions whose id is a fact or an earlier addition of the plan."""
     kept = state.added.select(*PLAN, F.col("id").alias("temp_id"), "op_index")
     rows = of_kind(state.ops, "add_function").join(kept, [*PLAN, "temp_id", "op_index"], "left_anti")
-    return _issues(rows, "DUPLICATE_NODE", _text("Node %s already exists.", "temp_id"))
+    return _issues(rows, "DUPLICATE_NODE", _text("id %s is taken", "temp_id"))
 
 
 def rule_invalid_function(state: PlanState) -> DataFrame:
@@ -58,7 +58,7 @@ def rule_invalid_function(state: PlanState) -> DataFrame:
         *PLAN, F.col("id").alias("node_id")
     )
     rows = touched.join(known, [*PLAN, "node_id"], "left_anti")
-    return _issues(rows, "INVALID_FUNCTION", _text("Function %s does not exist.", "node_id"))
+    return _issues(rows, "INVALID_FUNCTION", _text("no function %s", "node_id"))
 
 
 def rule_invalid_relation(ops: DataFrame, relations: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def rule_invalid_relation(ops: DataFrame, relations: DataFrame) -> DataFrame:
         relations.select(*SCOPE, F.col("id").alias("relation_id")),
         [*SCOPE, "relation_id"], "left_anti",
     )
-    return _issues(rows, "INVALID_RELATION", _text("Relation %s does not exist.", "relation_id"))
+    return _issues(rows, "INVALID_RELATION", _text("no relation %s", "relation_id"))
 
 
 def rule_duplicate_removal(state: PlanState) -> DataFrame:
@@ -82,16 +82,16 @@ def rule_duplicate_removal(state: PlanState) -> DataFrame:
         F.col("op_index") > F.col("removed_at")
     )
     return _issues(
-        again, "DUPLICATE_REMOVAL", _text("Function %s is removed more than once.", "node_id")
+        again, "DUPLICATE_REMOVAL", _text("function %s removed again", "node_id")
     ).unionByName(_issues(
-        twice, "DUPLICATE_REMOVAL", _text("Relation %s is removed more than once.", "relation_id")
+        twice, "DUPLICATE_REMOVAL", _text("relation %s removed again", "relation_id")
     ))
 
 
 def rule_removed_function(state: PlanState) -> DataFrame:
     gone = state.gone.select(*PLAN, F.col("id").alias("node_id"))
     rows = of_kind(state.ops, "move_function").join(gone, [*PLAN, "node_id"], "left_semi")
-    return _issues(rows, "REMOVED_FUNCTION", _text("Cannot move removed function %s.", "node_id"))
+    return _issues(rows, "REMOVED_FUNCTION", _text("function %s moves although it is removed", "node_id"))
 
 
 def _planned_relations(ops: DataFrame) -> DataFrame:
@@ -121,7 +121,7 @@ def rule_invalid_target(state: PlanState, relations: DataFrame) -> DataFrame:
             & F.col("gone").isNull()
         ))
     )
-    return _issues(rows, "INVALID_TARGET", _text("Annotation target %s does not exist.",
+    return _issues(rows, "INVALID_TARGET", _text("nothing to annotate at %s",
                                                  "target_id"))
 
 
@@ -131,29 +131,27 @@ def rule_duplicate_relation(ops: DataFrame, relations: DataFrame) -> DataFrame:
     rows = adds.join(facts, [*SCOPE, "relation_id"], "left").filter(
         F.col("fact").isNotNull() | (F.col("op_index") > F.col("first_added"))
     )
-    return _issues(rows, "DUPLICATE_RELATION", _text("Relation %s already exists.", "relation_id"))
+    return _issues(rows, "DUPLICATE_RELATION", _text("relation id %s is taken", "relation_id"))
 
 
 def rule_invalid_endpoint(state: PlanState) -> DataFrame:
     return _issues(
         state.endpoints.filter(~F.col("usable")), "INVALID_ENDPOINT",
-        F.lit("Planned calls require an existing function source and function or external "
-              "target."),
+        F.lit("a call needs a function and a callable"),
     )
 
 
 def rule_compatibility_unknown(state: PlanState) -> DataFrame:
     return _issues(
         state.endpoints.filter("usable"), "COMPATIBILITY_UNKNOWN",
-        F.lit("Interface compatibility is unknown; arguments, return values, and possible "
-              "adaptation require human review."), "warning",
+        F.lit("a reader must judge whether the call fits"), "warning",
     )
 
 
 def rule_invalid_policy_path(plans: DataFrame, policies: DataFrame) -> DataFrame:
     broken = normalized_policies(policies).filter(~F.col("ok")).select("project_id", "policy_id")
     return _issues(plans.join(broken, "project_id"), "INVALID_POLICY_PATH",
-                   _text("Directory policy %s contains an invalid path.", "policy_id"))
+                   _text("policy %s names a path outside the tree", "policy_id"))
 
 
 def rule_forbidden_planned(plans: DataFrame, state: PlanState, policies: DataFrame) -> DataFrame:
@@ -163,7 +161,7 @@ def rule_forbidden_planned(plans: DataFrame, state: PlanState, policies: DataFra
         F.coalesce("target_path", "target_name").alias("target_key"),
     ).filter(F.col("source_path").isNotNull())
     return _issues(forbidden_by(rows, policies), "FORBIDDEN_DEPENDENCY",
-                   _text("Relation violates directory policy %s.", "policy_id"))
+                   _text("forbidden by policy %s", "policy_id"))
 
 
 def fact_violations(nodes: DataFrame, relations: DataFrame, policies: DataFrame) -> DataFrame:
@@ -291,7 +289,7 @@ def validate_plan(plans: DataFrame, state: PlanState, relations: DataFrame,
         rule_invalid_endpoint(state), rule_compatibility_unknown(state),
         rule_forbidden_planned(plans, state, policies),
         _issues(existing, "FORBIDDEN_DEPENDENCY",
-                F.format_string("Existing relation %s violates directory policy %s.",
+                F.format_string("present relation %s is forbidden by policy %s",
                                 F.col("relation_id"), F.col("policy_id"))),
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -257,10 +257,10 @@ class Verification:
         rows = of_kind(self.ops, "add_function").join(
             self._bound("t", "temp_id", True, False), ["plan_id", "temp_id"])
         return _verdict(rows, [
-            (F.col("t_uncertain"), "unknown", "Function binding or analysis is ambiguous.", None),
-            (F.col("t_n") > 0, "satisfied", "Planned function exists at the target path.",
+            (F.col("t_uncertain"), "unknown", "function not bound for certain", None),
+            (F.col("t_n") > 0, "satisfied", "found at the planned path",
              F.col("t_found_at")),
-            (F.lit(True), "unmet", "Planned function was not found.", None),
+            (F.lit(True), "unmet", "not at the planned path", None),
         ])
 
     def verify_move(self) -> DataFrame:
@@ -286,10 +286,10 @@ class Verification:
         hidden = F.col("changed") & F.coalesce("incomplete", F.lit(False))
         return _verdict(rows, [
             (F.col("t_uncertain") | hidden, "unknown",
-             "Moved function binding or analysis is ambiguous.", None),
+             "moved function not bound for certain", None),
             ((F.col("t_n") > 0) & ~old, "satisfied",
-             "Function is located at the planned destination.", F.col("t_found_at")),
-            (F.lit(True), "unmet", "The required move was not established.",
+             "moved as planned", F.col("t_found_at")),
+            (F.lit(True), "unmet", "move not seen",
              F.col("t_found_at")),
         ])
 
@@ -298,9 +298,9 @@ class Verification:
             self._bound("t", "node_id", False, True), ["plan_id", "node_id"])
         return _verdict(rows, [
             (F.col("t_uncertain"), "unknown",
-             "Symbol binding or analysis cannot establish removal.", None),
-            (F.col("t_n") > 0, "unmet", "The function still exists.", F.col("t_found_at")),
-            (F.lit(True), "satisfied", "The function is absent from indexed source.", None),
+             "removal cannot be told", None),
+            (F.col("t_n") > 0, "unmet", "function still there", F.col("t_found_at")),
+            (F.lit(True), "satisfied", "function gone", None),
         ])
 
     def relation_check(self) -> DataFrame:
@@ -357,25 +357,25 @@ class Verification:
         flip = lambda yes, no: F.when(gone, yes).otherwise(no)
         return _verdict(rows, [
             (F.coalesce(no_base, F.lit(True)), "unknown",
-             "The baseline relation has unresolved endpoints.", None),
+             "baseline relation without known ends", None),
             (F.col("s_uncertain") | F.col("t_uncertain"), "unknown",
-             "Symbol binding or analysis is ambiguous.", None),
+             "an end is not bound for certain", None),
             ((F.col("s_n") == 0) | (F.col("t_n") == 0), flip("satisfied", "unmet"),
-             "A required endpoint is absent from the current indexed source.", None),
+             "an end is gone", None),
             (F.col("found_n") > 0, flip("unmet", "satisfied"),
-             flip("The original relation still exists.", "The required relation exists."),
+             flip("relation still there", "relation found"),
              F.col("found_text")),
             (F.coalesce("open_n", F.lit(0)) > 0, "unknown",
-             "Dynamic or unresolved relations prevent a definitive absence check.",
+             "open calls may hide the relation",
              F.col("open_text")),
             (F.lit(True), flip("satisfied", "unmet"),
-             flip("The original relation is absent.",
-                  "No direct call to the required target was found."), F.col("s_found_at")),
+             flip("relation gone",
+                  "no such call"), F.col("s_found_at")),
         ])
 
     def verify_annotate(self) -> DataFrame:
         return _verdict(of_kind(self.ops, "annotate"), [
-            (F.lit(True), "unknown", "Annotation semantics require human review.", None),
+            (F.lit(True), "unknown", "for a reader to judge", None),
         ])
 
     def report(self) -> DataFrame:
