@@ -32,4 +32,4 @@ def test_query_equals_its_oracle(spark, con, key):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"scan_source_tree"}
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)

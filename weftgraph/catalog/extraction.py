@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..extract import configs as C
@@ -11,7 +13,7 @@ from ..operators.condense import scc_condense
 from ..sources import scan as S
 from ..sources.plan_log import _once
 from ..sources.star_graph import graph_nodes, star_graph
-from ..staging import stage, table
+from ..staging import stage, stage_root, table
 from .prelude import with_graph
 from .registry import query
 
@@ -209,21 +211,43 @@ def link_calls(spark, sf):
         "target_path", "target_name", "external")
 
 
-@query("build_nodes", _SRC + """
-SELECT kind, count(*) AS nodes, count(parent) AS with_parent FROM (
-  SELECT 'folder' AS kind, CASE WHEN i > 0 THEN 1 END AS parent FROM range(5) t(i)
-  UNION ALL SELECT 'file', 1 FROM o UNION ALL SELECT 'file', 1 FROM cu
-  UNION ALL SELECT 'file', 1 FROM na UNION ALL SELECT 'file', 1 FROM range(4)
-  UNION ALL SELECT 'function', 1 FROM o, range(4) UNION ALL SELECT 'function', 1 FROM cu
-    WHERE local AND NOT missing UNION ALL SELECT 'function', 1 FROM na
-  UNION ALL SELECT 'external', NULL FROM range(2)
-  UNION ALL SELECT DISTINCT 'external', NULL FROM o WHERE missing) GROUP BY kind""")
+def _made(kind: str, *parts: str) -> str:
+    """SQL twin of ``make_id`` for project shop; parts are SQL expressions."""
+    return (f"'{kind}:' || substring(sha256(CAST(to_json(['{kind}', 'shop', {', '.join(parts)}]) "
+            "AS VARCHAR)), 1, 32)")
+
+
+_UP = "CASE p WHEN 'pkg' THEN '.' ELSE 'pkg' END"
+_HOME = "regexp_replace(path, '/[^/]*$', '')"
+_NODES = _SRC + f""",
+tree AS (SELECT path FROM o UNION ALL SELECT path FROM cu UNION ALL SELECT path FROM na UNION ALL
+  SELECT unnest(['pkg/__init__.py', 'pkg/orders/__init__.py', 'pkg/customers/__init__.py',
+    'pkg/base/__init__.py'])),
+folder AS (SELECT unnest(['.', 'pkg', 'pkg/orders', 'pkg/customers', 'pkg/base']) AS p),
+decl AS (SELECT path, name, q, k, up, uk FROM o, (VALUES ('Order', 'Order', 'class', NULL, NULL),
+    ('go', 'Order.go', 'function', 'Order', 'class'),
+    ('stop', 'Order.stop', 'function', 'Order', 'class'),
+    ('main', 'main', 'function', NULL, NULL)) t(name, q, k, up, uk)
+  UNION ALL SELECT path, 'run', 'run', 'function', NULL, NULL FROM cu WHERE local AND NOT missing
+  UNION ALL SELECT path, 'work', 'work', 'function', NULL, NULL FROM na),
+ext AS (SELECT unnest(['os.getcwd', 'builtins.len']) AS name
+  UNION SELECT 'pkg.base.missing.work' FROM o WHERE missing),
+made AS (SELECT {_made('folder', 'p', 'p')} AS id, 'folder' AS kind,
+    CASE p WHEN '.' THEN p ELSE regexp_extract(p, '[^/]+$') END AS name, p AS qualified_name,
+    nullif(p, '.') AS file_path, CASE WHEN p <> '.' THEN {_made('folder', _UP, _UP)} END AS parent_id,
+    CAST(NULL AS VARCHAR) AS language FROM folder
+  UNION ALL SELECT {_made('file', 'path', 'path')}, 'file', regexp_extract(path, '[^/]+$'), path, path,
+    {_made('folder', _HOME, _HOME)}, 'python' FROM tree
+  UNION ALL SELECT {_made('function', 'path', 'q', 'k')}, 'function', name, q, path,
+    CASE WHEN up IS NULL THEN {_made('file', 'path', 'path')}
+      ELSE {_made('function', 'path', 'up', 'uk')} END, 'python' FROM decl
+  UNION ALL SELECT {_made('external', "''", 'name')}, 'external', name, name, NULL, NULL, NULL
+    FROM ext)"""
+
+
+@query("build_nodes", _NODES + "\nSELECT * FROM made")
 def build_nodes(spark, sf):
-    """Nodes by kind, and those whose parent id exists among the nodes."""
-    nodes = stage(_nodes(spark, sf)[0], "built-nodes")
-    parents = nodes.select(F.col("id").alias("parent_id"), F.lit(True).alias("p"))
-    return nodes.join(parents, "parent_id", "left").groupBy("kind").agg(
-        F.count(F.lit(1)).alias("nodes"), F.count("p").alias("with_parent"))
+    return _nodes(spark, sf)[0]
 
 
 def _nodes(spark, sf):
@@ -256,17 +280,38 @@ def _edge_rows(spark, sf):
         F.col("start_line").cast("bigint").alias("line"), "text")
 
 
-@query("build_edges", _SRC + "," + _CALLS + """
-SELECT resolution, count(*) AS edges, count(*) AS ids, count(t) AS targets FROM (
-  SELECT CASE target WHEN 'none' THEN 'unresolved' WHEN 'os' THEN 'external' WHEN 'len' THEN
-    'external' WHEN 'helper' THEN CASE WHEN missing THEN 'external' ELSE 'resolved' END
-    ELSE 'resolved' END AS resolution, CASE WHEN target <> 'none' THEN 1 END AS t FROM calls)
-GROUP BY resolution""")
+_EDGES = _NODES + "," + _CALLS + f""",
+said AS (SELECT * FROM (VALUES (7, 'none', 'cb()'), (8, 'Order.stop', 'self.stop(helper(os.getcwd()))'),
+  (8, 'helper', 'helper(os.getcwd())'), (8, 'os', 'os.getcwd()'), (10, 'helper', 'mod.run(len(x))'),
+  (10, 'len', 'len(x)'), (12, 'none', 'helper()'), (13, 'none', 'Order().go(main)'),
+  (13, 'Order', 'Order()'), (14, 'Order.stop', 'Order.stop(None, 1)'), (15, 'none', 'unknown()'))
+  t(line, target, text)),
+meant AS (SELECT c0.path, c0.src, c0.line, text, c0.target,
+    CASE WHEN c0.target IN ('Order', 'Order.stop') THEN c0.path
+      WHEN c0.target = 'helper' AND NOT missing THEN
+        CASE WHEN local THEN 'pkg/customers/c' || c || '.py' ELSE 'pkg/base/n' || n || '.py' END END AS tp,
+    CASE WHEN c0.target IN ('Order', 'Order.stop') THEN c0.target
+      WHEN c0.target = 'helper' AND NOT missing THEN CASE WHEN local THEN 'run' ELSE 'work' END END AS tq,
+    CASE c0.target WHEN 'os' THEN 'os.getcwd' WHEN 'len' THEN 'builtins.len'
+      WHEN 'helper' THEN CASE WHEN missing THEN 'pkg.base.missing.work' END END AS x
+  FROM calls c0 JOIN said ON said.line = c0.line AND said.target = c0.target),
+edge AS (SELECT 'calls' AS type, CASE WHEN src = '' THEN {_made('file', 'path', 'path')}
+      ELSE {_made('function', 'path', 'src', "'function'")} END AS source_id,
+    CASE WHEN tq IS NOT NULL THEN
+      CASE WHEN tq = 'Order' THEN {_made('function', 'tp', 'tq', "'class'")}
+        ELSE {_made('function', 'tp', 'tq', "'function'")} END
+      WHEN x IS NOT NULL THEN {_made('external', "''", 'x')} END AS target_id,
+    CASE WHEN x IS NOT NULL THEN 'external' WHEN tq IS NOT NULL THEN 'resolved'
+      ELSE 'unresolved' END AS resolution, path AS evidence_path,
+    CAST(line AS BIGINT) AS evidence_line, text AS evidence_text FROM meant)
+SELECT {_made('relation', 'type', 'source_id', "coalesce(target_id, '')", 'resolution',
+              'evidence_path', 'CAST(evidence_line AS VARCHAR)', 'evidence_text', "'1'")} AS id,
+  * FROM edge"""
+
+
+@query("build_edges", _EDGES)
 def build_edges(spark, sf):
-    edges = K.build_edges("shop", _edge_rows(spark, sf))
-    return edges.groupBy("resolution").agg(
-        F.count(F.lit(1)).alias("edges"), F.countDistinct("id").alias("ids"),
-        F.count("target_id").alias("targets"))
+    return K.build_edges("shop", _edge_rows(spark, sf))
 
 
 def _words(rows: str) -> str:
@@ -311,11 +356,17 @@ def snapshot_id(spark, sf):
 
 
 # ---- scanning --------------------------------------------------------------------------------------
-@query("scan_source_tree")
+@query("scan_source_tree", """
+SELECT doc_id, CAST(strlen(text) + 1 AS BIGINT) AS bytes, sha256(text || chr(10)) AS content_hash
+FROM documents""")
 def scan_source_tree(spark, sf):
-    """The given tables' folder as a tree (table files instead of source files)."""
-    return S.scan_source_tree(spark, sf, r"\.parquet$").select(
-        "path", F.col("bytes").cast("bigint").alias("bytes"))
+    """Every document written as a file of a tree, found again with its size and content."""
+    tree = f"{stage_root(spark)}/tree-{uuid.uuid4().hex}"
+    table(spark, sf, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(tree)
+    found = S.scan_source_tree(spark, tree, r"\.txt$", with_content=True)
+    return found.select(
+        F.regexp_extract("path", r"^doc_id=(\d+)/", 1).cast("bigint").alias("doc_id"),
+        F.col("bytes").cast("bigint").alias("bytes"), F.sha2("content", 256).alias("content_hash"))
 
 
 def _tree(spark, sf):
