@@ -20,11 +20,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import (FIT_ROWS, calibrate, class_counts, fit_sample, held_out, labelled, logistic,
-                     map_batches, texts)
+                     map_batches, stage, texts)
 
 MODULUS, REMAINDER = 4, 2
 CUT = 0.3
@@ -44,23 +44,16 @@ def tokens(text: str | None) -> list[bytes]:
             (text or "").encode("utf-8", "surrogatepass").lower().split()]
 
 
-def log_odds(toxic: Counter, clean: Counter, n_toxic: int, n_clean: int) -> dict[bytes, float]:
-    """Positive word scores: lower confidence bound of the log-odds, less the drift.
+def log_odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
+    """Score of a word said in ``toxic`` and ``clean`` texts: lower confidence bound of the
+    log-odds, less the drift.
 
     Counts are of texts, so a word said often in one text counts once.
     """
-    total, scores = n_toxic + n_clean, {}
-    for word, k in toxic.items():
-        if k < LEAST_TEXTS or not word:
-            continue
-        c = clean.get(word, 0)
-        prior = FLAT + POOLED * (k + c) / total
-        odds = (np.log((k + prior) / (n_toxic + FLAT + POOLED))
-                - np.log((c + prior) / (n_clean + FLAT + POOLED)))
-        low = odds - ERRORS * np.sqrt(1 / (k + prior) + 1 / (c + prior)) - DRIFT
-        if low > 0:
-            scores[word] = float(low)
-    return scores
+    prior = FLAT + POOLED * (toxic + clean) / (n_toxic + n_clean)
+    odds = (F.log((toxic + prior) / (n_toxic + FLAT + POOLED))
+            - F.log((clean + prior) / (n_clean + FLAT + POOLED)))
+    return odds - ERRORS * F.sqrt(1 / (toxic + prior) + 1 / (clean + prior)) - DRIFT
 
 
 def segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int, int, float]]:
@@ -111,43 +104,68 @@ class Model:
     slope: float
     offset: float
 
-    def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float, float]]]:
-        """Number of words, and (start, end, score, evidence) of every maximal segment."""
-        toks = tokens(text)
-        at, score = scored(toks, self.words, self.stems)
+    def significance(self, n: int, at, score) -> list[tuple[int, int, float, float]]:
+        """(start, end, score, evidence) of the maximal segments of a text of ``n`` words."""
         if not len(at):
-            return len(toks), []
-        base = self.log_k + np.log(max(len(toks), 1))
-        return len(toks), [(a, b, s, self.rate * s - base) for a, b, s in segments(at, score, DRIFT)]
+            return []
+        base = self.log_k + np.log(max(n, 1))
+        return [(a, b, s, self.rate * s - base)
+                for a, b, s in segments(np.asarray(at), np.asarray(score), DRIFT)]
 
-    def evidence(self, text: str | None) -> float:
+    def passages(self, text: str | None) -> list[tuple[int, int, float, float]]:
+        toks = tokens(text)
+        return self.significance(len(toks), *scored(toks, self.words, self.stems))
+
+    def weigh(self, n: int, at, score) -> float:
         """Sum of ``-ln(expected by chance)`` over significant segments, else the best one's."""
-        _, found = self.passages(text)
-        values = [e for *_, e in found]
+        values = [e for *_, e in self.significance(n, at, score)]
         strong = [e for e in values if e > -np.log(SIGNIFICANT)]
         return float(sum(strong) if strong else max([0.0, *values]))
 
+    def evidence(self, text: str | None) -> float:
+        toks = tokens(text)
+        return self.weigh(len(toks), *scored(toks, self.words, self.stems))
+
     def score(self, rows: list[str | None]) -> np.ndarray:
         x = np.array([self.evidence(t) for t in rows], float)
         return logistic(self.slope * np.log1p(x) + self.offset)
 
 
-def fit(sample: list[tuple[int, str]], counts: tuple[int, int]) -> Model:
-    """Word scores, extreme-value parameters and calibration from labelled texts."""
-    sample = sorted(set(sample))  # copies of a text say nothing new
-    by_class = {k: [tokens(t) for label, t in sample if label == k] for k in (0, 1)}
-    if not by_class[0] or not by_class[1]:
-        return Model({}, {}, 1.0, 0.0, 1.0, 0.0)
-    seen = {k: Counter(w for t in rows for w in set(t)) for k, rows in by_class.items()}
-    begun = {k: Counter(x for t in rows for x in {w[:STEM] for w in t if len(w) > STEM})
-             for k, rows in by_class.items()}
-    sizes = len(by_class[1]), len(by_class[0])
-    words, stems = log_odds(seen[1], seen[0], *sizes), log_odds(begun[1], begun[0], *sizes)
-    clean = by_class[0]
+def lexicon(sample: DataFrame, sizes: tuple[int, int]) -> tuple[dict, dict]:
+    """Scored words and stems of a sample (label, text) of ``sizes`` clean and toxic texts.
+
+    Counting is a grouped sum; only words that score reach the driver, and a sample of bounded size
+    has a bounded number of those.
+    """
+
+    def said(batch: pa.RecordBatch) -> dict:
+        out: dict[str, list] = {"word": [], "stem": [], "label": []}
+        for label, text in zip(batch.column("label").to_pylist(), texts(batch)):
+            own = set(tokens(text)) - {b""}
+            for stem, some in ((False, own), (True, {w[:STEM] for w in own if len(w) > STEM})):
+                out["word"] += some
+                out["stem"] += [stem] * len(some)
+                out["label"] += [label] * len(some)
+        return out
+
+    rows = map_batches(sample, said, "word binary, stem boolean, label int")
+    counts = rows.groupBy("word", "stem").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
+    score = log_odds(F.col("t"), F.col("n") - F.col("t"), sizes[1], sizes[0])
+    found = counts.where(F.col("t") >= LEAST_TEXTS).withColumn("score", score).where(
+        "score > 0").collect()
+    words, stems = ({bytes(r["word"]): r["score"] for r in found if r["stem"] == kind}
+                    for kind in (False, True))
+    return words, stems
+
+
+def fit(rows: list[tuple[int, int, list[int], list[float]]], words: dict, stems: dict,
+        counts: tuple[int, int]) -> Model:
+    """Extreme-value parameters and calibration from the scored words of the sample's texts:
+    (label, number of words, places, scores)."""
+    clean = [r for r in rows if r[0] == 0]
     # Distribution of word scores in clean texts, with a flat mass for words not met there.
-    hits = [scored(t, words, stems) for t in clean]
-    drawn = Counter(v for _, found in hits for v in found.tolist())
-    drawn[-DRIFT] += sum(map(len, clean)) - sum(drawn.values())
+    drawn = Counter(v for *_, score in clean for v in score)
+    drawn[-DRIFT] += sum(n for _, n, *_ in clean) - sum(drawn.values())
     for v in (*words.values(), *stems.values()):
         drawn[v] += FLAT / (len(words) + len(stems))
     value = np.array(list(drawn), float)
@@ -159,14 +177,15 @@ def fit(sample: list[tuple[int, str]], counts: tuple[int, int]) -> Model:
         low, high = (low, rate) if (share * np.exp(np.minimum(rate * value, 500))).sum() > 1 \
             else (rate, high)
     rate = max(low, 1e-3)
-    best = [np.log(max(len(t), 1)) - rate * max((x for *_, x in segments(*h, DRIFT)), default=0.0)
-            for t, h in zip(clean, hits)]
+    best = [np.log(max(n, 1)) - rate * max(
+        (x for *_, x in segments(np.array(at), np.array(score), DRIFT)), default=0.0)
+        for _, n, at, score in clean]
     # Gumbel: the mean of K n exp(-rate S) over the best clean segments is 1.
     log_k = -float(np.logaddexp.reduce(best) - np.log(len(best)))
     log_k = float(np.clip(log_k, -12.0, 2.0))
     trial = Model(words, stems, rate, log_k, 1.0, 0.0)
-    label = np.array([k for k, _ in sample], float)
-    x = np.log1p([trial.evidence(t) for _, t in sample])
+    label = np.array([r[0] for r in rows], float)
+    x = np.log1p([trial.weigh(*r[1:]) for r in rows])
     n1 = label.sum()
     weight = np.where(label == 1, counts[1] / n1, counts[0] / (len(label) - n1))
     slope, offset = calibrate(x, label, weight)
@@ -174,10 +193,26 @@ def fit(sample: list[tuple[int, str]], counts: tuple[int, int]) -> Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS) -> Model:
-    """A model from at most ``per_class`` rows of each class; held-out rows are never read."""
+    """A model from at most ``per_class`` rows of each class; held-out rows are never read.
+
+    The sample is written once and read by tasks; copies of a text say nothing new and count once.
+    """
     known = labelled(labels, "toxic", MODULUS, REMAINDER)
-    rows = fit_sample(docs, known, per_class).collect()
-    return fit([(r["label"], r["text"]) for r in rows], class_counts(known))
+    sample = stage(fit_sample(docs, known, per_class).distinct(), "toxic-sample")
+    sizes = class_counts(sample)
+    if not all(sizes):
+        return Model({}, {}, 1.0, 0.0, 1.0, 0.0)
+    words, stems = lexicon(sample, sizes)
+
+    def hits(batch: pa.RecordBatch) -> dict:
+        toks = [tokens(t) for t in texts(batch)]
+        found = [scored(t, words, stems) for t in toks]
+        return {"label": batch.column("label"), "n": [len(t) for t in toks],
+                "at": [a.tolist() for a, _ in found], "score": [v.tolist() for _, v in found]}
+
+    rows = map_batches(sample, hits, "label int, n long, at array<long>, score array<double>")
+    found = sorted((r["label"], r["n"], r["at"], r["score"]) for r in rows.collect())
+    return fit(found, words, stems, class_counts(known))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS) -> DataFrame:
@@ -189,7 +224,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS) -> D
         score = model.score(rows)
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"),
                 "score": score, "predicted": (score >= CUT).astype("int32"),
-                "n_passages": [sum(e > -np.log(SIGNIFICANT) for *_, e in model.passages(t)[1])
+                "n_passages": [sum(e > -np.log(SIGNIFICANT) for *_, e in model.passages(t))
                                for t in rows]}
 
     rows = docs.select(F.col("doc_id").cast("long"), held_out(MODULUS, REMAINDER).alias("held_out"),
@@ -206,7 +241,7 @@ def passages(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS) -> D
         out: dict[str, list] = {"doc_id": [], "first_word": [], "last_word": [], "score": [],
                                 "expected": []}
         for doc, text in zip(batch.column("doc_id").to_pylist(), texts(batch)):
-            for a, b, s, e in model.passages(text)[1]:
+            for a, b, s, e in model.passages(text):
                 if e > -np.log(SIGNIFICANT):
                     for column, v in zip(out.values(), (doc, a, b - 1, s, float(np.exp(-e)))):
                         column.append(v)
