@@ -57,14 +57,19 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def text_hash() -> Column:
+    return F.xxhash64("text", F.col("doc_id").isNull())
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash (of the whole text) and fp (as signed 64-bit) of every row."""
+    """doc_id, text_hash (of the whole text and of whether the id is null) and fp (as signed 64-bit)
+    of every row."""
 
     def run(batch: pa.RecordBatch) -> dict:
         fp = np.array([fingerprint(t) for t in texts(batch)], np.uint64).view(np.int64)
         return {"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "fp": fp}
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
+    rows = docs.select(F.col("doc_id").cast("long"), text_hash().alias("text_hash"), "text")
     return map_batches(rows, run, "doc_id long, text_hash long, fp long")
 
 
@@ -262,10 +267,11 @@ def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each class, the one of least id, with all its columns."""
     rows = stage(fingerprints(docs), "simhash")
     kept = components(rows, radius).select(
-        F.col("component_id").alias("__id"), F.col("component_hash").alias("__hash")).distinct()
-    # Ids are nearly unique, so the texts of kept rows move once, by id.
-    found = docs.withColumn("__text", F.xxhash64("text")).join(
-        kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-        & (F.col("__text") == F.col("__hash")), "left_semi")
-    again = Window.partitionBy("doc_id", "__text").orderBy("__text")
+        F.coalesce("component_id", F.lit(0)).alias("__id"),
+        F.col("component_hash").alias("__text")).distinct()
+    # Ids are nearly unique, so the texts move once, by id; the key has no nulls, so that the join
+    # and the window deal rows out alike.
+    found = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn(
+        "__text", text_hash()).join(kept, ["__id", "__text"], "left_semi")
+    again = Window.partitionBy("__id", "__text").orderBy("__text")
     return found.withColumn("__n", F.row_number().over(again)).where("__n = 1").select(*docs.columns)
