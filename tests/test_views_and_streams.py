@@ -143,19 +143,9 @@ CHANGE = ("id string, seq bigint, action string, expected bigint, text string, "
           "target_id string")
 
 
-def test_revision_state_spans_micro_batches(spark):
-    path = f"{stage_root(spark)}/cas-test-{random.random()}"
-    batches = [[("n", -1, "open", 1, "t", None), ("n", 2, "edit", 1, "u", None)],
-               [("n", 4, "edit", 2, "u", None), ("n", 3, "edit", 1, "late", None)],
-               [("n", 5, "delete", 2, None, None), ("n", 6, "edit", 3, "x", None)]]
-    for rows in batches:
-        spark.createDataFrame(rows, CHANGE).coalesce(1).write.mode("append").parquet(path)
-    out = T.run_to_table(T.revision_state(T.stream_table(spark, path, 1)), "cas-test")
-    assert collect(out, "seq", "outcome") == [
-        (2, "applied"), (3, "conflict"), (5, "applied"), (6, "conflict")]
-
-
-def test_revision_batches_decide_like_keyed_state(spark):
+@pytest.mark.parametrize("merge_every", [2, 32])
+def test_revision_batches_keep_a_log_of_state(spark, monkeypatch, merge_every):
+    monkeypatch.setattr(T, "MERGE_EVERY", merge_every)
     path = f"{stage_root(spark)}/cas-batches-{random.random()}"
     for rows in ([("n", 2, "edit", 1, "u", None), ("m", 3, "edit", 7, "u", None)],
                  [("n", 4, "edit", 2, "u", None), ("n", 3, "edit", 1, "late", None)],
@@ -202,3 +192,28 @@ def test_members_meet_the_current_snapshot_of_their_project(spark):
     got = V.member_bindings(members, nodes, current)
     assert collect(got, "id", "status") == [
         ("a", "bound"), ("a", "bound"), ("b", "snapshot-changed"), ("c", "missing")]
+
+
+def test_repeated_requests_within_the_watermark_and_after_it(spark):
+    path = f"{stage_root(spark)}/dedupe-test-{random.random()}"
+    for rows in ([("m", "00:10"), ("m", "00:20"), ("k", "00:15")], [("x", "09:00")],
+                 [("y", "09:05")], [("m", "00:30"), ("m", "09:30"), ("x", "09:10")]):
+        spark.createDataFrame(rows, "id string, at string").select(
+            "id", F.to_timestamp(F.concat(F.lit("2024-01-01 "), "at")).alias("at")).coalesce(
+            1).write.mode("append").parquet(path)
+    kept = T.dedupe_mutations(T.stream_table(spark, path, 1), "at", "1 hour", ["id"])
+    out = T.run_to_table(kept, "dedupe-test")
+    # m at 00:30 is late; at 09:30 its first request is forgotten; x at 09:10 is not.
+    assert sorted((r["id"], str(r["at"])[11:16]) for r in out.collect()) == [
+        ("k", "00:15"), ("m", "00:10"), ("m", "09:30"), ("x", "09:00"),
+        ("y", "09:05")]
+
+
+def test_staged_tables_can_be_released(spark):
+    from weftgraph.staging import release, stage, table_exists
+
+    kept, gone = stage(spark.range(3), "kept"), stage(spark.range(3), "gone")
+    assert table_exists(spark, gone.inputFiles()[0].rsplit("/", 1)[0])
+    release(gone)
+    assert kept.count() == 3
+    assert not table_exists(spark, gone.inputFiles()[0].rsplit("/", 1)[0])

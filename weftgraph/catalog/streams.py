@@ -36,7 +36,7 @@ def stream_dedupe_mutations(spark, sf):
     rows = _events(spark, sf).select(
         F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("project_id"),
         F.floor("value").alias("mutation_id"), "ts")
-    kept = T.dedupe_mutations(rows, "ts", "60 days", ["project_id", "mutation_id"])
+    kept = T.dedupe_mutations(rows, "ts", "1 day", ["project_id", "mutation_id"])
     return T.run_to_table(kept, "stream-mutations").drop("ts")
 
 

@@ -1,5 +1,8 @@
 """Session helpers: table access and lineage cuts that survive executor loss.
 
+One configured root holds whatever is staged.  ``release`` drops the tables a caller no longer reads,
+``release_all`` everything the application staged; a long-lived application calls them.
+
 Iterative operators write each round as a parquet table in the shared folder named by
 ``spark.checkpoint.dir``.  A written table is computed once, is readable from every
 executor, and carries size statistics, so Catalyst can decide about broadcasts itself.
@@ -39,5 +42,31 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    files, where = _file_system(spark, path)
+    return files.exists(where)
+
+
+def release(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in staged:
+        spark, root = df.sparkSession, stage_root(df.sparkSession).split(":", 1)[-1]
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if root.lstrip("/") in folder:  # never anything outside the stage root
+                files, where = _file_system(spark, folder)
+                files.delete(where, True)
+
+
+def release_all(spark: SparkSession) -> None:
+    """Delete everything this application staged."""
+    files, where = _file_system(spark, stage_root(spark))
+    files.delete(where, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -7,11 +7,10 @@ stream over files ends when its input is consumed, and runs on with any other tr
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..staging import stage_root
 
@@ -87,31 +86,50 @@ def change_rate(events: DataFrame, time: str, delay: str, window: Column, *keys:
              F.col("w.end").cast("timestamp_ntz").alias("end"), *keys, "changes")
 
 
+MERGE_EVERY = 32  # batches between whole copies of the state
+
+
 def revision_cas(stream: DataFrame, current: DataFrame, name: str = "cas") -> DataFrame:
     """Outcomes (id, seq, outcome, revision) of a revision-checked change stream.
 
-    Every micro-batch runs the batch operator against the state the batch before left behind, so
-    a record with very many changes is aggregated, never gathered.  State and outcomes of a batch
-    are overwritten when it is replayed.  Refused changes are emitted, never dropped.
+    Every micro-batch runs the batch operator against the records its changes name, so a record with
+    very many changes is aggregated, never gathered.  The state is a log: a batch appends the records
+    it changed, and every MERGE_EVERY batches a whole copy, from which later ones read on.  What a
+    batch wrote is overwritten when it is replayed.  Refused changes are emitted, never dropped.
     """
     from ..knowledge.annotations import apply_changes
 
     spark = stream.sparkSession
     base = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
-    fields = ["id", "revision", "text", "target_id"]
-    current.select(*fields).write.parquet(f"{base}/state/-1")
+    fields = ["id", "revision", "text", "target_id", "deleted"]
+    first = current.select(*fields[:-1], F.lit(False).alias("deleted"))
+    first.write.parquet(f"{base}/state/version=-1")
+    schema = StructType([*first.schema, StructField("version", LongType())])
+
+    def log(batch_id: int) -> DataFrame:
+        whole = batch_id - 1 - batch_id % MERGE_EVERY  # the last whole copy before this batch
+        return spark.read.schema(schema).parquet(f"{base}/state").filter(
+            (F.col("version") >= whole) & (F.col("version") < batch_id))
+
+    def latest(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("id").agg(F.max_by(F.struct(*fields[1:]), "version").alias("r")).select(
+            "id", "r.*")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        before = spark.read.schema(current.select(*fields).schema).parquet(
-            f"{base}/state/{batch_id - 1}")
-        state, history, refused = apply_changes(before, batch)
+        named = batch.select("id").distinct()
+        before = latest(log(batch_id).join(named, "id", "left_semi"))
+        # Deleted records stay in the log as such: later changes of them are refused.
+        state, history, refused = apply_changes(
+            before.filter(~F.col("deleted")).drop("deleted"), batch)
         out = history.select("id", "seq", F.lit("applied").alias("outcome"), "revision")
         out.unionByName(refused.select(
             "id", "seq", F.lit("conflict").alias("outcome"), F.col("expected").alias("revision"))
         ).write.mode("overwrite").parquet(f"{base}/data/batch={batch_id}")
-        # Deleted records leave the state: later changes of them find nothing and are refused.
-        state.filter(~F.col("deleted")).select(*fields).write.mode("overwrite").parquet(
-            f"{base}/state/{batch_id}")
+        rows = state.join(history.select("id").distinct(), "id", "left_semi").select(*fields)
+        if batch_id % MERGE_EVERY == MERGE_EVERY - 1:
+            changed = rows.withColumn("version", F.lit(batch_id).cast("bigint"))
+            rows = latest(log(batch_id).unionByName(changed))
+        rows.write.mode("overwrite").parquet(f"{base}/state/version={batch_id}")
 
     query = (
         stream.writeStream.foreachBatch(write)
@@ -122,44 +140,3 @@ def revision_cas(stream: DataFrame, current: DataFrame, name: str = "cas") -> Da
 
 
 CAS_OUT = "id string, seq bigint, outcome string, revision bigint"
-CAS_STATE = "revision bigint, text string, target string, deleted boolean"
-
-
-def revision_state(changes: DataFrame) -> DataFrame:
-    """The same decisions with keyed state, for low latency and small triggers.
-
-    ``changes``: id, seq, action, expected, text, target_id; an ``open`` action brings a record
-    with its first state.  State per record is one small row.  A micro-batch is put in sequence
-    per record, so ``files_per_trigger`` must bound what a single record brings at once;
-    ``revision_cas`` has no such bound.
-    """
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState):
-        rows = pd.concat(list(batches)).sort_values("seq")
-        now = state.get if state.exists else None
-        out = []
-        for row in rows.itertuples(index=False):
-            if row.action == "open":
-                now = (int(row.expected), row.text, row.target_id, False)
-                continue
-            held = now is not None and not now[3] and row.expected == now[0]
-            if not held:
-                out.append((key[0], row.seq, "conflict", int(row.expected)))
-                continue
-            revision, text, target, _ = now
-            after = (
-                row.text if row.action == "edit" else text,
-                row.target_id if row.action == "bind" else
-                None if row.action == "detach" else target,
-                row.action == "delete",
-            )
-            if after == (text, target, False):
-                continue
-            now = (revision + 1, *after)
-            out.append((key[0], row.seq, "applied", revision + 1))
-        if now is not None:
-            state.update(now)
-        yield pd.DataFrame(out, columns=["id", "seq", "outcome", "revision"])
-
-    return changes.groupBy("id").applyInPandasWithState(
-        advance, CAS_OUT, CAS_STATE, "append", GroupStateTimeout.NoTimeout)
