@@ -366,6 +366,16 @@ def relation_check(spark, sf):
     )
 
 
+@query("verification_evidence", with_verify("""
+SELECT plan_id, op_index, 'found' AS step, t AS evidence FROM rc3 JOIN evi e ON e.source_id = sid
+  AND e.target_id = tgt AND e.type = rtype AND (e.resolution = 'resolved'
+    OR (e.resolution = 'external' AND tk = 'external')) WHERE step = 3
+UNION ALL SELECT plan_id, op_index, 'open', t FROM rc3 JOIN evi e ON e.source_id = sid
+  AND e.type = rtype AND e.resolution = 'unresolved' WHERE step = 4"""))
+def verification_evidence(spark, sf):
+    return _verification(spark, sf).relation_evidence()
+
+
 @query("verify_plan", with_verify("SELECT * FROM report"))
 def verify_plan(spark, sf):
     return _verification(spark, sf).report()

@@ -350,29 +350,51 @@ class Verification:
             ).otherwise(0))
         )
 
-    def verify_relation(self) -> DataFrame:
+    def relation_steps(self) -> DataFrame:
+        """Relation checks with the step that decides them: no baseline, uncertain ends, an end gone,
+        found, hidden by open calls, or absent."""
         rows = self.relation_check()
         gone = F.col("removing_rel")
         no_base = gone & (F.col("to_id").isNull() | (F.col("b_resolution") == "unresolved"))
-        flip = lambda yes, no: F.when(gone, yes).otherwise(no)
-        return _verdict(rows, [
-            (F.coalesce(no_base, F.lit(True)), "unknown",
-             "baseline relation without known ends", None),
-            (F.col("s_uncertain") | F.col("t_uncertain"), "unknown",
-             "an end is not bound for certain", None),
-            ((F.col("s_n") == 0) | (F.col("t_n") == 0), flip("satisfied", "unmet"),
-             "an end is gone", None),
-            (F.col("found_n") > 0, flip("unmet", "satisfied"),
-             flip("relation still there", "relation found"),
-             F.col("found_text")),
-            (F.coalesce("open_n", F.lit(0)) > 0, "unknown",
-             "open calls may hide the relation",
-             F.col("open_text")),
-            (F.lit(True), flip("satisfied", "unmet"),
-             flip("relation gone",
-                  "no such call"), F.col("s_found_at")),
+        return rows.withColumn("step", (
+            F.when(F.coalesce(no_base, F.lit(True)), "no baseline")
+            .when(F.col("s_uncertain") | F.col("t_uncertain"), "uncertain")
+            .when((F.col("s_n") == 0) | (F.col("t_n") == 0), "end gone")
+            .when(F.col("found_n") > 0, "found")
+            .when(F.coalesce("open_n", F.lit(0)) > 0, "open").otherwise("absent")))
+
+    def verify_relation(self) -> DataFrame:
+        at = lambda step: F.col("step") == step
+        flip = lambda yes, no: F.when(F.col("removing_rel"), yes).otherwise(no)
+        return _verdict(self.relation_steps(), [
+            (at("no baseline"), "unknown", "baseline relation without known ends", None),
+            (at("uncertain"), "unknown", "an end is not bound for certain", None),
+            (at("end gone"), flip("satisfied", "unmet"), "an end is gone", None),
+            (at("found"), flip("unmet", "satisfied"),
+             flip("relation still there", "relation found"), F.col("found_text")),
+            (at("open"), "unknown", "open calls may hide the relation", F.col("open_text")),
+            (F.lit(True), flip("satisfied", "unmet"), flip("relation gone", "no such call"),
+             F.col("s_found_at")),
         ])
 
+    def relation_evidence(self) -> DataFrame:
+        """Every place that decides a relation check, one row each: the relations found, or the open
+        calls of the source that may hide one."""
+        rows = self.relation_steps().select(
+            "plan_id", "op_index", "step", F.col("s_found_id").alias("source_id"),
+            F.col("t_found_id").alias("target_id"), "t_found_kind", F.col("rel_type").alias("type"))
+        facts = self.relations.select(
+            "source_id", "target_id", "type", "resolution",
+            evidence_text("evidence_path", "evidence_line", "evidence_text").alias("evidence"))
+        counts = (F.col("resolution") == "resolved") | (
+            (F.col("resolution") == "external") & (F.col("t_found_kind") == "external"))
+        found = rows.filter(F.col("step") == "found").join(
+            facts, ["source_id", "target_id", "type"]).filter(counts)
+        hidden = rows.filter(F.col("step") == "open").drop("target_id").join(
+            facts.filter(F.col("resolution") == "unresolved"), ["source_id", "type"])
+        out = ["plan_id", "op_index", "step", "evidence"]
+        return found.select(*out).unionByName(hidden.select(*out))
+
     def verify_annotate(self) -> DataFrame:
         return _verdict(of_kind(self.ops, "annotate"), [
             (F.lit(True), "unknown", "for a reader to judge", None),
