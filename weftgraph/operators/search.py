@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import ENTRYPOINT_CAP, NODE_BUDGET, NODE_BUDGET_MAX, SCOPE, SCOPE_EDGE_CAP
-from .paging import check_budget, page, top_n, totals
+from .paging import check_budget, page, prefix_ranks, top_n, totals
 
 
 def node_order() -> list[Column]:
@@ -20,64 +20,28 @@ def normalize_query(text: Column) -> Column:
     return F.lower(F.trim(F.coalesce(text, F.lit(""))))
 
 
-def _grams(text: Column, size: int) -> Column:
-    """Distinct substrings of one length; empty when the text is shorter."""
-    starts = F.sequence(F.lit(1), F.length(text) - (size - 1))
-    cut = F.transform(starts, lambda i: F.substr(text, i, F.lit(size)))
-    return F.when(F.length(text) >= size, F.array_distinct(cut)).otherwise(
-        F.array().cast("array<string>")
-    )
-
-
-#: One function in so many is read to learn which grams are rare.
-GRAM_SAMPLE = 64
-
-
-def _search_fields() -> list[Column]:
-    return [F.lower(F.coalesce(F.col(c), F.lit("")))
-            for c in ("name", "qualified_name", "file_path")]
-
-
-def _probes(functions: DataFrame, asked: DataFrame) -> DataFrame:
-    """(scope, q, gram): the rarest three-letter part of every longer query.
-
-    Frequencies come from a hash sample: any part finds the matches, a rare one meets fewer names.
-    """
-    own = asked.filter(F.length("q") >= 3).withColumn("gram", F.explode(_grams(F.col("q"), 3)))
-    text = F.concat_ws("\n", *_search_fields())
-    common = (
-        functions.filter(F.pmod(F.xxhash64("id"), F.lit(GRAM_SAMPLE)) == 0)
-        .select(*SCOPE, F.explode(_grams(text, 3)).alias("gram"))
-        .groupBy(*SCOPE, "gram").agg(F.count(F.lit(1)).alias("uses")))
-    rare = F.struct(F.coalesce("uses", F.lit(0)).alias("n"), "gram")
-    return own.join(common, [*SCOPE, "gram"], "left").groupBy(*SCOPE, "q").agg(
-        F.min(rare).alias("r")).select(*SCOPE, "q", F.col("r.gram").alias("gram"))
+#: Queries that meet a function together.
+QUERY_BLOCK = 256
 
 
 def search_matches(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """(q, node) matches for distinct normalized queries: q is a substring of a field.
 
-    Equi-join on a probe gram, verified by ``contains``: each query contributes its rarest three
-    characters (or all of a shorter query), each function the grams of its fields.  A gram size
-    nobody asks for has an empty side, which adaptive execution drops.  The empty query matches
-    every function and joins on the scope alone.
+    The distinct queries of a snapshot are numbered and cut into blocks of QUERY_BLOCK; a block
+    travels as one array, and each function is tested against a block in one pass.  Any number of
+    queries is so many blocks of one plan.
     """
     functions = nodes.filter(F.col("kind") == "function")
     asked = requests.select(*SCOPE, normalize_query(F.col("q")).alias("q")).distinct()
-    fields = _search_fields()
-    hit = fields[0].contains(F.col("q")) | fields[1].contains(F.col("q")) | fields[2].contains(
-        F.col("q")
+    numbered = prefix_ranks(asked, SCOPE, F.substring("q", 1, 2), [F.col("q")], "nth")
+    blocks = numbered.groupBy(*SCOPE, F.floor((F.col("nth") - 1) / QUERY_BLOCK).alias("block")).agg(
+        F.collect_list("q").alias("qs")).drop("block")
+    name, qualified, path = (F.lower(F.coalesce(F.col(c), F.lit("")))
+                             for c in ("name", "qualified_name", "file_path"))
+    hits = F.filter(
+        "qs", lambda q: name.contains(q) | qualified.contains(q) | path.contains(q)
     )
-    text = F.concat_ws("\n", *fields)
-    found = functions.join(asked.filter(F.col("q") == ""), SCOPE)
-    for size in (1, 2, 3):
-        probes = _probes(functions, asked) if size == 3 else asked.filter(
-            F.length("q") == size).withColumn("gram", F.col("q"))
-        grams = functions.withColumn("gram", F.explode(_grams(text, size)))
-        found = found.unionByName(
-            grams.join(probes, [*SCOPE, "gram"]).filter(hit).drop("gram")
-        )
-    return found
+    return functions.join(blocks, SCOPE).withColumn("q", F.explode(hits)).drop("qs")
 
 
 def search_functions(nodes: DataFrame, requests: DataFrame, offset: int = 0,
