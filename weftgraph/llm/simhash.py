@@ -266,7 +266,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS,
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each class, the one of least id, with all its columns."""
     rows = stage(fingerprints(docs), "simhash")
-    kept = components(rows, radius).select(
+    return first_rows(docs, components(rows, radius))
+
+
+def first_rows(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The row that each class (component_id, component_hash) keeps, with all its columns."""
+    kept = classes.select(
         F.coalesce("component_id", F.lit(0)).alias("__id"),
         F.col("component_hash").alias("__text")).distinct()
     # Ids are nearly unique, so the texts move once, by id; the key has no nulls, so that the join
