@@ -161,6 +161,26 @@ def test_toxic_passages_are_found_and_clean_texts_left(spark):
     assert left.columns == docs.columns and left.count() == 450
 
 
+def test_every_occurrence_of_a_toxic_word_scores(spark):
+    rng = random.Random(4)
+    plain, bad = [f"word{i}" for i in range(400)], ("vile", "rotten", "nasty")
+    some = lambda n: [rng.choice(plain) for _ in range(n)]
+    made = [(i, " ".join(some(55) + list(bad if i % 4 == 0 else ()) + some(65))) for i in range(600)]
+    # Each word stands alone early on, then two equal passages follow.
+    words = some(3000)
+    words[100], words[500], words[900] = bad
+    words[1500:1506] = words[2500:2506] = bad * 2
+    docs = spark.createDataFrame(rows_of([*made, (9000, " ".join(words))]), DOCS)
+    marks = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in made],
+                                  "doc_id long, quality int, toxic int")
+    found = toxicity.passages(docs, marks).where("doc_id = 9000").orderBy("first_word").collect()
+    long = [r for r in found if r["last_word"] > r["first_word"]]
+    assert [(r["first_word"], r["last_word"]) for r in long] == [(1500, 1505), (2500, 2505)]
+    assert abs(long[0]["score"] - long[1]["score"]) < 1e-9
+    row = toxicity.toxicity(docs, marks).where("doc_id = 9000").first()
+    assert row["n_passages"] == len(found) and row["predicted"] == 1
+
+
 def test_toxicity_of_odd_rows(odd, nothing, labels):
     found = toxicity.toxicity(odd, labels).collect()
     assert sorted((str(r["doc_id"]), r["held_out"]) for r in found) == sorted(

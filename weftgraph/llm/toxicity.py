@@ -79,15 +79,13 @@ def segments(at: np.ndarray, score: np.ndarray, drift: float) -> list[tuple[int,
 
 def scored(toks: list[bytes], words: dict[bytes, float],
            stems: dict[bytes, float]) -> tuple[np.ndarray, np.ndarray]:
-    """Places and scores of the scored words; a word counts where it first stands, since the
-    scores come from counts of texts."""
-    at, score, seen = [], [], set()
+    """Places and scores of the scored words, every occurrence of each."""
+    at, score = [], []
     for i, w in enumerate(toks):
         s = words.get(w)
         if s is None:
             s = stems.get(w[:STEM])
-        if s is not None and w not in seen:
-            seen.add(w)
+        if s is not None:
             at.append(i)
             score.append(s)
     return np.array(at, np.int64), np.array(score, float)
