@@ -191,6 +191,16 @@ def test_toxicity_of_odd_rows(odd, nothing, labels):
     assert toxicity.passages(nothing, labels).count() == 0
 
 
+def test_nothing_is_rejected_when_nothing_can_be_learned(spark, odd, labels):
+    ids = sorted(str(i) for i, _ in ODD)
+    few = spark.createDataFrame([(7, 1, 0), (13, 0, 1)], "doc_id long, quality int, toxic int")
+    for marks in (labels.where("false"), labels.where("toxic = 0"), labels.where("toxic = 1"), few):
+        kept = toxicity.keep_clean(odd, marks)
+        assert sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == ids
+        found = toxicity.toxicity(odd, marks).collect()
+        assert {r["predicted"] for r in found} == {0} and len({r["score"] for r in found}) == 1
+
+
 def test_calibration_meets_the_class_share():
     rng = np.random.default_rng(1)
     raw = rng.normal(size=2000)

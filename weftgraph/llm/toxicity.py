@@ -9,7 +9,8 @@ and K comes from their best segments.  A text's evidence sums ``lambda S - ln(K
 significant segments and is calibrated to 0..1 against the class sizes.
 
 Defined results: a null text counts as empty; a text without any scored word has evidence zero and
-gets the lowest score; without labels of both classes the lexicon is empty and scores are equal;
+gets the lowest score; without labels of both classes, or without any word that tells them apart,
+nothing is known: scores are equal, below the cut, and no row is rejected;
 repeated rows get equal scores; extra columns are ignored.
 """
 
@@ -129,6 +130,10 @@ class Model:
         return logistic(self.slope * np.log1p(x) + self.offset)
 
 
+#: The model when nothing can be learned; its score is half the cut for every text.
+UNKNOWN = Model({}, {}, 1.0, 0.0, 1.0, float(np.log(CUT / 2 / (1 - CUT / 2))))
+
+
 def lexicon(sample: DataFrame, sizes: tuple[int, int]) -> tuple[dict, dict]:
     """Scored words and stems of a sample (label, text) of ``sizes`` clean and toxic texts.
 
@@ -199,8 +204,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = FIT_ROWS) -> Mode
     sample = stage(fit_sample(docs, known, per_class).distinct(), "toxic-sample")
     sizes = class_counts(sample)
     if not all(sizes):
-        return Model({}, {}, 1.0, 0.0, 1.0, 0.0)
+        return UNKNOWN
     words, stems = lexicon(sample, sizes)
+    if not words and not stems:
+        return UNKNOWN
 
     def hits(batch: pa.RecordBatch) -> dict:
         toks = [tokens(t) for t in texts(batch)]
