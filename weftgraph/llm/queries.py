@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from weftgraph.staging import table
 
-from . import (bpe, fingerprint, html_text, lm_scoring, packing, quality_classifier, quality_rules,
-               sharding, simhash, toxicity)
+from . import (bpe, fingerprint, html_text, lexical, lm_scoring, merkle, packing,
+               quality_classifier, quality_rules, sharding, simhash, statements, toxicity,
+               vector_search)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -19,6 +20,16 @@ def query(fn):
     return fn
 
 
+def oracle(sql: str):
+    """Registers ``sql`` as the statement that gives the rows of a query."""
+
+    def add(fn):
+        ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
@@ -70,3 +81,21 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
+
+
+@oracle(statements.VECTOR_SEARCH)
+@query
+def op11_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.search(table(spark, sf_dir, "embeddings"))
+
+
+@oracle(statements.MERKLE)
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.checked(table(spark, sf_dir, "documents"))
+
+
+@oracle(statements.LEXICAL)
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
