@@ -45,6 +45,8 @@ GROUP, CHUNK = 8192, 512
 BLOCK_ROWS, BLOCK_BYTES = 2048, 8 << 20
 #: Candidates of best bound that are scored first where no threshold is known, times k.
 PROBE = 4
+#: Pairs that are scored at a time; from one pair in DENSE on, all are scored as one product.
+PIECE, DENSE = 1 << 14, 32
 NULL_ID = np.iinfo(np.int64).max
 LIMIT = np.iinfo(np.int64)
 BLOCK = "block long, size int, n int, vectors binary"
@@ -78,44 +80,72 @@ class Vectors:
     """Integer vectors of one length with their ids and statistics."""
 
     def __init__(self, ids: np.ndarray, known: np.ndarray, x: np.ndarray):
-        self.ids, self.known, self.x = ids, known, x
-        wide = x.astype(np.float64)
-        self.norm = np.sqrt((wide * wide).sum(1))
-        self.levels = [statistics(wide, s) for s in resolutions(x.shape[1])]
-
-    def scores(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
-        """Exact inner products of some rows with a query."""
-        x = self.x[rows]
-        most = int(np.abs(x.astype(np.float64)).max(initial=0)) * int(
-            np.abs(query.astype(np.float64)).max(initial=0)) * max(len(query), 1)
-        if most < 1 << 53:
-            return (x.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
-        if most < 1 << 62:
-            return x @ query
-        exact = [sum(a * b for a, b in zip(r, query.tolist())) for r in x.tolist()]
-        return np.array([min(max(s, LIMIT.min), LIMIT.max) for s in exact], np.int64)
-
-
-def best_of(vectors: Vectors, query: np.ndarray, levels: list[np.ndarray], own: int, least: int,
-            k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and scores of the ``k`` best of ``vectors`` but row ``own``, of scores from ``least``."""
-    alive = np.arange(len(vectors.ids))
-    if own >= 0:
-        alive = np.delete(alive, own)
-    norm = float(np.sqrt((query.astype(np.float64) ** 2).sum()))
-    margin = 1e-6 + 1e-9 * norm * float(vectors.norm.max(initial=0))
-    if least == LIMIT.min and levels and len(alive) > PROBE * k:
-        bound = vectors.levels[-1][alive] @ levels[-1]
-        probe = alive[np.argpartition(-bound, PROBE * k)[:PROBE * k]]
-        least = int(np.partition(vectors.scores(probe, query), -k)[-k])
-    for mine, theirs in zip(levels, vectors.levels):
-        if least == LIMIT.min or not len(alive):
-            break
-        alive = alive[theirs[alive] @ mine + margin >= least]
-    score = vectors.scores(alive, query)
-    alive, score = alive[score >= least], score[score >= least]
-    order = np.lexsort((vectors.ids[alive], 1 - vectors.known[alive], -score))[:k]
-    return alive[order], score[order]
+        self.ids, self.known, self.x, self.wide = ids, known, x, x.astype(np.float64)
+        self.norm = np.sqrt((self.wide * self.wide).sum(1))
+        self.most = float(np.abs(self.wide).max(initial=0))
+        #: Single precision where squares of norms are far from its limits.
+        self.kind = np.float32 if self.norm.max(initial=0) < 1e6 else np.float64
+        self.levels = [statistics(self.wide, s).astype(self.kind) for s in resolutions(x.shape[1])]
+
+
+def exact(asked: Vectors, held: Vectors, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (i, j), as integers."""
+    out = np.empty(len(i), np.int64)
+    reach = asked.most * held.most * max(asked.x.shape[1], 1)
+    if reach < 2.0 ** 53 and DENSE * len(i) > len(asked.ids) * len(held.ids):
+        return (asked.wide @ held.wide.T)[i, j].astype(np.int64)
+    for at in range(0, len(i), PIECE):
+        a, b = i[at:at + PIECE], j[at:at + PIECE]
+        if reach < 2.0 ** 53:
+            out[at:at + PIECE] = np.einsum("nd,nd->n", asked.wide[a], held.wide[b])
+        elif reach < 2.0 ** 62:
+            out[at:at + PIECE] = (asked.x[a] * held.x[b]).sum(1)
+        else:
+            out[at:at + PIECE] = [
+                min(max(sum(s * t for s, t in zip(x, y)), LIMIT.min), LIMIT.max)
+                for x, y in zip(asked.x[a].tolist(), held.x[b].tolist())]
+    return out
+
+
+def margins(asked: Vectors, held: Vectors) -> np.ndarray:
+    """What rounding may take from a bound, for each query."""
+    kind = np.float64 if np.float64 in (asked.kind, held.kind) else np.float32
+    worst = 8 * max(asked.x.shape[1], 1) * float(np.finfo(kind).eps)
+    return 1e-6 + worst * asked.norm * held.norm.max(initial=0)
+
+
+def best_of(asked: Vectors, held: Vectors, own: np.ndarray, least: np.ndarray,
+            k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (query, row) and scores: the ``k`` best rows of each query, its row ``own`` (if not
+    negative) excepted, with scores from ``least`` on; LIMIT.min stands for no threshold."""
+    n, m = len(asked.ids), len(held.ids)
+    alive = np.ones((n, m), bool)
+    alive[np.flatnonzero(own >= 0), own[own >= 0]] = False
+    fresh = np.flatnonzero(least == LIMIT.min)
+    width = PROBE * k
+    if len(fresh) and m > width + 1 and held.levels:
+        bound = asked.levels[-1][fresh] @ held.levels[-1].T
+        bound[~alive[fresh]] = -np.inf
+        probe = np.argpartition(-bound, width, axis=1)[:, :width]
+        score = exact(asked, held, np.repeat(fresh, width), probe.ravel()).reshape(-1, width)
+        least = least.copy()
+        least[fresh] = np.partition(score, -k, axis=1)[:, -k]
+    floor = np.where(least == LIMIT.min, -np.inf, least.astype(np.float64)) - margins(asked, held)
+    rows, columns = np.arange(n), np.arange(m)
+    for mine, theirs in zip(asked.levels, held.levels):
+        alive &= mine[rows] @ theirs[columns].T >= floor[rows, None]
+        keep, left = alive.any(1), alive.any(0)
+        if keep.sum() * left.sum() < 0.8 * alive.size:
+            rows, columns, alive = rows[keep], columns[left], alive[np.ix_(keep, left)]
+    at = np.flatnonzero(alive)
+    i, j = rows[at // len(columns)], columns[at % len(columns)]
+    score = exact(asked, held, i, j)
+    good = score >= least[i]
+    i, j, score = i[good], j[good], score[good]
+    order = np.lexsort((held.ids[j], 1 - held.known[j], -score, i))
+    i, j, score = i[order], j[order], score[order]
+    place = np.arange(len(i)) - np.searchsorted(i, i)
+    return i[place < k], j[place < k], score[place < k]
 
 
 def packed(ids: list, x: np.ndarray) -> bytes:
@@ -213,29 +243,30 @@ def met(asked: DataFrame, stored: DataFrame, k: int = K) -> DataFrame:
     kind = pa.schema([("block", pa.int64()), ("place", pa.int32()), ("query_id", pa.int64()),
                       ("vec_id", pa.int64()), ("score", pa.int64())])
 
-    def rows(ask: dict, held: dict, vectors: Vectors) -> Iterator[pa.RecordBatch]:
-        ids, _, x = unpacked(ask["vectors"], ask["size"])
-        places = np.frombuffer(ask["places"], "<i4")
+    def rows(ask: dict, held: list[tuple[int, Vectors]]) -> Iterator[pa.RecordBatch]:
+        asked = Vectors(*unpacked(ask["vectors"], ask["size"]))
+        places = np.frombuffer(ask["places"], "<i4").astype(np.int64)
         least = np.frombuffer(ask["least"], "<i8") if ask["least"] else np.full(
-            len(ids), LIMIT.min)
-        levels = [statistics(x.astype(np.float64), s) for s in resolutions(x.shape[1])]
-        same = ask["block"] == held["block"]
-        for i in range(len(ids)):
-            best, score = best_of(vectors, x[i], [v[i] for v in levels],
-                                  int(places[i]) if same else -1, int(least[i]), k)
-            n = len(best)
+            len(places), LIMIT.min)
+        known = np.full((len(places), k), LIMIT.min)
+        for block, vectors in held:
+            own = places if block == ask["block"] else np.full(len(places), -1)
+            i, j, score = best_of(asked, vectors, own, least, k)
+            # The k-th best of the blocks so far is the threshold of the next.
+            more = np.full((len(places), 2 * k), LIMIT.min)
+            more[:, :k] = known
+            more[i, k + np.arange(len(i)) - np.searchsorted(i, i)] = score
+            known = np.partition(more, k, axis=1)[:, k:]
+            least = np.maximum(least, known.min(1))
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.full(n, ask["block"])), pa.array(np.full(n, places[i])),
-                pa.array(np.full(n, ids[i])),
-                pa.array(vectors.ids[best], mask=vectors.known[best] == 0),
+                pa.array(np.full(len(i), ask["block"])), pa.array(places[i].astype(np.int32)),
+                pa.array(asked.ids[i]), pa.array(vectors.ids[j], mask=vectors.known[j] == 0),
                 pa.array(score)], schema=kind)
 
     def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        for held in right.to_pylist():
-            vectors = Vectors(*unpacked(held["vectors"], held["size"]))
-            for ask in left.to_pylist():
-                out += rows(ask, held, vectors)
+        held = [(b["block"], Vectors(*unpacked(b["vectors"], b["size"])))
+                for b in right.to_pylist()]
+        out = [batch for ask in left.to_pylist() for batch in rows(ask, held)]
         return pa.Table.from_batches(out, kind).combine_chunks()
 
     keys = ["size", "chunk", "grp"]
