@@ -188,7 +188,7 @@ def test_lexical_search_equals_brute_force(spark, odd, nothing, monkeypatch):
     table = spark.createDataFrame([(*r, "?") for r in items], "item_id long, text string, term string")
     for block, part in ((4096, 512), (37, 3)):
         monkeypatch.setattr(lexical, "BLOCK_DOCS", block)
-        monkeypatch.setattr(lexical.item_parts, "__defaults__", (part, 1 << 16))
+        monkeypatch.setattr(lexical.item_parts, "__defaults__", (part, 1 << 20))
         frame = spark.createDataFrame(rows_of(docs), DOCS).repartition(3)
         got = lexical.search(frame, table, k=20)
         assert sorted(map(tuple, got.collect()), key=str) == slow_ranking(docs, items, 20)

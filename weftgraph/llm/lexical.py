@@ -41,8 +41,8 @@ from .packs import squeeze, unsqueeze
 
 K = 50
 BLOCK_DOCS, BLOCK_BYTES = 4096, 12 << 20
-#: Items and terms of a part, which a task holds at a time; index blocks of a cell.
-PART_ITEMS, PART_TERMS, CELL_BLOCKS = 512, 1 << 16, 16
+#: Items and bytes of terms of a part, which a task holds at a time; index blocks of a cell.
+PART_ITEMS, PART_BYTES, CELL_BLOCKS = 512, 1 << 20, 16
 #: Documents a group step evaluates at least; the step doubles while bounds allow.
 STEP = 64
 SHARES = 32
@@ -141,14 +141,14 @@ def weights(wanted: DataFrame, blocks: DataFrame, docs: int) -> DataFrame:
     return wanted.join(held.select("term", weight.alias("w")), "term")
 
 
-def item_parts(weighted: DataFrame, items: int = PART_ITEMS, words: int = PART_TERMS) -> tuple:
-    """(table of part and items, number of parts): a row holds about ``items`` items and about
-    ``words`` terms with their weights."""
+def item_parts(weighted: DataFrame, items: int = PART_ITEMS, size: int = PART_BYTES) -> tuple:
+    """(table of part and items, number of parts): a row holds about ``items`` items whose terms
+    take about ``size`` bytes; a single part holds no more than that."""
     each = stage(weighted.groupBy("item_id").agg(
         F.collect_list("term").alias("terms"), F.collect_list("w").alias("weights")), "lexical-items")
-    size = each.agg(F.count("*").alias("n"),
-                    F.coalesce(F.sum(F.size("terms")), F.lit(0)).alias("t")).first()
-    parts = max(-(-size["n"] // items), -(-size["t"] // words), 1)
+    length = F.aggregate("terms", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t) + 8)
+    whole = each.agg(F.count("*").alias("n"), F.coalesce(F.sum(length), F.lit(0)).alias("b")).first()
+    parts = max(-(-whole["n"] // items), -(-whole["b"] // size), 1)
     part = F.pmod(F.xxhash64("item_id"), F.lit(parts)).cast("int")
     return each.groupBy(part.alias("part")).agg(
         F.collect_list(F.struct("item_id", "terms", "weights")).alias("items")), parts
@@ -230,13 +230,9 @@ class Postings:
             at, step = end, 2 * step
 
 
-def reports(blocks: DataFrame, parts: DataFrame, cells: int, docs: int, length: int,
-            k: int = K) -> DataFrame:
-    """item_id, doc_id, score: the best ``k`` documents of each item that each task has seen.
-
-    ``blocks`` and ``parts`` meet by (part, cell), where a block lies in one of ``cells`` and a part
-    in all of them.
-    """
+def reports(met: DataFrame, docs: int, length: int, k: int = K) -> DataFrame:
+    """item_id, doc_id, score: the best ``k`` documents of each item that each task has seen, for
+    index blocks that have ``met`` parts (``meet``) of a corpus of ``docs`` and ``length`` terms."""
     def rows(items: dict) -> Iterator[pa.RecordBatch]:
         some = [(i, top) for i, (_, _, top) in items.items() if len(top.score)]
         if some:
@@ -264,14 +260,26 @@ def reports(blocks: DataFrame, parts: DataFrame, cells: int, docs: int, length:
                     block.search(words, weight, top)
         yield from rows(items)
 
-    bounded(blocks.sparkSession)
-    every = F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell")
-    met = blocks.join(parts.select("part", "items", every), ["part", "cell"])
-    return met.sortWithinPartitions("part").select(
-        "part", "items", "dictionary", "counts", "postings").mapInArrow(
+    bounded(met.sparkSession)
+    return met.select("part", "items", "dictionary", "counts", "postings").mapInArrow(
         run, "item_id long, doc_id long, score long")
 
 
+def meet(blocks: DataFrame, parts: DataFrame, number: int, cells: int) -> DataFrame:
+    """Every block with every one of ``number`` parts, each task's rows part by part.
+
+    A single part is bounded by PART_ITEMS and PART_BYTES, so it is broadcast.  Of several, a copy
+    goes to each of ``cells``, and a block lies in one cell: that grows with the blocks, so it is
+    shuffled.
+    """
+    if number == 1:
+        return blocks.withColumn("part", F.lit(0)).join(F.broadcast(parts), "part")
+    cell = F.pmod(F.xxhash64("postings"), F.lit(cells)).cast("int").alias("cell")
+    dealt = blocks.select("*", cell, F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("part"))
+    copies = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))).alias("cell"))
+    return dealt.join(copies.hint("merge"), ["part", "cell"]).sortWithinPartitions("part")
+
+
 def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     """item_id, rank, doc_id, score of the ``k`` best documents of each item."""
     blocks = stage(index(docs), "lexical-index")
@@ -280,12 +288,8 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     parts, number = item_parts(weights(item_terms(items), blocks, size["docs"]))
     tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = max(-(-size["blocks"] // CELL_BLOCKS), min(size["blocks"], tasks), 1)
-    dealt = blocks.select(
-        "dictionary", "counts", "postings",
-        F.pmod(F.xxhash64("postings"), F.lit(cells)).cast("int").alias("cell"),
-        F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias("part"))
-    seen = stage(reports(dealt, stage(parts, "lexical-parts"), cells, size["docs"], size["terms"], k),
-                 "lexical-found")
+    met = meet(blocks, stage(parts, "lexical-parts"), number, cells)
+    seen = stage(reports(met, size["docs"], size["terms"], k), "lexical-found")
     release(blocks)
     return top(seen, ["item_id"], [F.desc("score"), F.asc_nulls_last("doc_id")], k).select(
         "item_id", "rank", "doc_id", "score")
