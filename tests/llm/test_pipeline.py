@@ -8,9 +8,11 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline as pipeline
 from weftgraph.compare import compare_frames, duck_connection
-from weftgraph.llm import packing, quality_classifier, queries, simhash, toxicity
+from weftgraph.llm import near_copies, packing, quality_classifier, queries, toxicity
 from weftgraph.staging import stage, table
 
+from .test_near_copies import slow_classes
+
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the given tables")
 
@@ -36,7 +38,9 @@ def test_each_stage_does_what_its_operator_says(spark):
     good = stage(pipeline.drop_poor(spark, left, SF), "t2")
     assert ids(good) == ids(quality_classifier.quality_scores(left, marks).where("predicted = 1"))
     once = stage(pipeline.drop_near_duplicates(spark, good, SF), "t3")
-    assert ids(once) == ids(simhash.near_duplicates(good).where("doc_id = component_id"))
+    assert ids(once) == ids(near_copies.near_copies(good).where("doc_id = component_id"))
+    texts = [(r["doc_id"], r["text"]) for r in good.select("doc_id", "text").collect()]
+    assert ids(once) == sorted({c for _, c in slow_classes(texts)})
     packed = pipeline.pack(spark, once, SF)
     assert sorted(packed.select("doc_id").distinct().toPandas()["doc_id"]) == ids(once)
     whole = pipeline.run(spark, SF)
