@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["graph", "functions", "plans", "knowledge", "views", "extraction", "streams"]
+MODULES = ["graph", "functions", "plans", "knowledge", "views", "extraction", "streams", "changes"]
 
 
 def load() -> None:
