@@ -77,6 +77,54 @@ def stream_change_sessions(spark, sf):
     return T.run_to_table(rate, "stream-sessions")
 
 
+@query("watch_refresh_debounce", """
+WITH RECURSIVE s AS (SELECT 'p' || user_id AS project_id, CAST(floor(epoch(ts)) AS BIGINT) AS t,
+    count(*) AS n FROM events GROUP BY 1, 2),
+o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY t) AS rn FROM s),
+w AS (SELECT project_id, rn, t AS f, t AS l, n, CAST(0 AS BIGINT) AS g FROM o WHERE rn = 1
+  UNION ALL SELECT o.project_id, o.rn,
+    CASE WHEN o.t >= least(l + 43200, f + 129600) THEN o.t ELSE f END, o.t,
+    CASE WHEN o.t >= least(l + 43200, f + 129600) THEN o.n ELSE w.n + o.n END,
+    CASE WHEN o.t >= least(l + 43200, f + 129600) THEN g + 1 ELSE g END
+  FROM w JOIN o ON o.project_id = w.project_id AND o.rn = w.rn + 1),
+r AS (SELECT project_id, max(f) AS f, max(l) AS l, CAST(max(n) AS BIGINT) AS n FROM w
+      GROUP BY project_id, g)
+SELECT project_id, make_timestamp(f * 1000000) AS first_at, make_timestamp(l * 1000000) AS last_at,
+  make_timestamp(least(l + 43200, f + 129600) * 1000000) AS refresh_at, n AS changes FROM r
+WHERE make_timestamp(least(l + 43200, f + 129600) * 1000000)
+  <= (SELECT date_trunc('second', max(ts)) FROM events) - INTERVAL 1 HOUR""")
+def watch_refresh_debounce(spark, sf):
+    """Users as projects: quiet for 12 hours, waiting for 36 at most."""
+    rows = _events(spark, sf).select(
+        F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("project_id"), "ts")
+    return T.run_to_table(T.debounce(rows, "ts", "1 hour", 12 * 3600, 36 * 3600), "stream-refresh")
+
+
+@query("stream_approval_join", """
+WITH c AS (SELECT 'p' || user_id AS plan_id, CAST(floor(value / 5) AS BIGINT) AS revision,
+    event_id AS change_id, ts AS changed_at FROM events WHERE event_type <> 'purchase'),
+a AS (SELECT 'p' || user_id AS plan_id, CAST(floor(value / 5) AS BIGINT) AS revision,
+    event_id AS approval_id, ts AS approved_at FROM events WHERE event_type = 'purchase'),
+m AS (SELECT c.*, approval_id, approved_at FROM c LEFT JOIN a ON a.plan_id = c.plan_id
+    AND a.revision = c.revision AND approved_at BETWEEN changed_at AND changed_at + INTERVAL 5 DAY)
+SELECT plan_id, revision, change_id, changed_at, approval_id,
+  CAST(floor(epoch(approved_at)) - floor(epoch(changed_at)) AS BIGINT) AS waited
+FROM m WHERE approval_id IS NOT NULL OR changed_at + INTERVAL 5 DAY < least(
+  (SELECT max(changed_at) FROM c), (SELECT max(approved_at) FROM a)) - INTERVAL 1 HOUR""")
+def stream_approval_join(spark, sf):
+    """Users as plans: purchases approve a revision that other events wrote up to five days before."""
+    rows = _events(spark, sf).select(
+        F.concat(F.lit("p"), F.col("user_id").cast("string")).alias("plan_id"),
+        F.floor(F.col("value") / 5).alias("revision"), "event_id", "ts", "event_type")
+    bought = F.col("event_type") == "purchase"
+    changes = rows.filter(~bought).withColumnsRenamed({"event_id": "change_id", "ts": "changed_at"})
+    approvals = rows.filter(bought).withColumnsRenamed(
+        {"event_id": "approval_id", "ts": "approved_at"})
+    joined = T.run_to_table(T.approval_join(changes, approvals, "1 hour", "5 DAYS"), "stream-approvals")
+    second = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    return joined.withColumn("waited", second("approved_at") - second("changed_at")).drop("approved_at")
+
+
 @query("stream_revision_cas", _recursive(with_notes(_CHANGES + """
 SELECT id, seq, 'applied' AS outcome, revision FROM st WHERE action <> 'create' AND NOT noop
 UNION ALL SELECT id, seq, 'conflict', expected FROM ch

@@ -23,16 +23,22 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int | None =
     return reader.parquet(path)
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream into a parquet table until its input is consumed and read the table back."""
-    spark = stream.sparkSession
-    base = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+def run(stream: DataFrame, base: str, mode: str = "append"):
+    """Run a stream into the parquet table ``base``/data until its input is consumed; its query."""
     query = (
         stream.writeStream.format("parquet").outputMode(mode)
         .option("checkpointLocation", f"{base}/checkpoint").option("path", f"{base}/data")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return query
+
+
+def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Run a stream into a parquet table until its input is consumed and read the table back."""
+    spark = stream.sparkSession
+    base = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    run(stream, base, mode)
     return spark.read.schema(stream.schema).parquet(f"{base}/data")
 
 
@@ -86,6 +92,109 @@ def change_rate(events: DataFrame, time: str, delay: str, window: Column, *keys:
              F.col("w.end").cast("timestamp_ntz").alias("end"), *keys, "changes")
 
 
+REFRESH = ("project_id string, first_second bigint, last_second bigint, due_second bigint, "
+           "changes bigint")
+OPEN = ("first bigint, last bigint, changes bigint, waiting array<struct<second: bigint, n: bigint>>")
+
+
+def _per_second(batches):
+    """Changes of an Arrow batch as one row a project and second, before they are shuffled."""
+    for batch in batches:
+        yield batch.groupby(["project_id", "at"], as_index=False).agg(changes=("changes", "sum"))
+
+
+def debounce(changes: DataFrame, time: str, delay: str, quiet: int, longest: int) -> DataFrame:
+    """Refreshes (project_id, first_at, last_at, refresh_at, changes) of a stream of changes.
+
+    Changes of a project wait together until none came for ``quiet`` seconds, but never longer than
+    ``longest`` seconds after the first of them; the refresh is due at the earlier of both, and a change
+    at or after that starts the next one.  Times count in whole seconds.
+
+    Tasks combine changes to one row a project and second before the shuffle, so a project with a third
+    of all changes is no larger than any busy one.  The state of a project is its open refresh and the
+    seconds that the watermark has not passed yet (bounded by ``delay``); those are folded in order of
+    time, so the result does not depend on how rows fall into batches.  One timer a project wakes it at
+    the next second to fold or when its refresh is due.  Rows later than ``delay`` are dropped, and
+    ``late_rows`` counts them, combined ones once; rows without project or time take no part."""
+    import pandas as pd
+
+    columns = [f.split()[0] for f in REFRESH.split(", ")]
+
+    def due(first: int, last: int) -> int:
+        return min(last + quiet, first + longest)
+
+    def step(key, batches, state):
+        first, last, count, waiting = state.get if state.exists else (None, None, 0, [])
+        seconds = {}
+        for second, n in waiting:
+            seconds[second] = n
+        for b in batches:
+            for second, n in zip(b["second"].tolist(), b["changes"].tolist()):
+                seconds[second] = seconds.get(second, 0) + n
+        now, out = state.getCurrentWatermarkMs(), []
+
+        def fire():
+            out.append((key[0], first, last, due(first, last), count))
+
+        for second in sorted(t for t in seconds if (t + 1) * 1000 <= now):
+            if first is not None and second >= due(first, last):
+                fire()
+                first, count = None, 0
+            first = second if first is None else first
+            last, count = second, count + seconds.pop(second)
+        if first is not None and due(first, last) * 1000 <= now:
+            fire()
+            first, last, count = None, None, 0
+        if first is None and not seconds:
+            state.remove()
+        else:
+            state.update((first, last, count, sorted(seconds.items())))
+            wake = [(min(seconds) + 1)] if seconds else []
+            state.setTimeoutTimestamp(1000 * min(wake + ([due(first, last)] if first is not None else [])))
+        yield pd.DataFrame(out, columns=columns)
+
+    at = F.date_trunc("second", F.col(time).cast("timestamp"))
+    rows = changes.filter(F.col("project_id").isNotNull() & F.col(time).isNotNull()).select(
+        F.col("project_id").cast("string").alias("project_id"), at.alias("at"),
+        F.lit(1).cast("long").alias("changes"))
+    combined = rows.mapInPandas(_per_second, rows.schema).withWatermark("at", delay)
+    fired = combined.withColumn("second", F.unix_timestamp("at")).groupBy(
+        "project_id").applyInPandasWithState(step, REFRESH, OPEN, "append", "EventTimeTimeout")
+    moment = lambda c: F.timestamp_seconds(c).cast("timestamp_ntz")
+    return fired.select(
+        "project_id", moment("first_second").alias("first_at"), moment("last_second").alias("last_at"),
+        moment("due_second").alias("refresh_at"), "changes")
+
+
+def late_rows(query) -> int:
+    """Rows that the stateful operators of a finished streaming query dropped as late."""
+    return sum(op["numRowsDroppedByWatermark"] for progress in query.recentProgress
+               for op in progress["stateOperators"])
+
+
+def approval_join(changes: DataFrame, approvals: DataFrame, delay: str, within: str) -> DataFrame:
+    """(plan_id, revision, change_id, changed_at, approval_id, approved_at): each change of a plan with
+    the approvals of its revision that come at most ``within`` after it; without one, null, and such a
+    row comes out once the watermarks say that no approval can follow.
+
+    ``changes`` (plan_id, revision, change_id, changed_at) and ``approvals`` (plan_id, revision,
+    approval_id, approved_at) are streams, both up to ``delay`` out of order; state is kept for
+    ``within`` and ``delay`` only.  A change with a null plan or revision matches nothing; rows without
+    a time take no part; repeated rows give repeated rows."""
+    left = changes.select("plan_id", "revision", "change_id",
+                          F.col("changed_at").cast("timestamp").alias("changed_at"))
+    right = approvals.select(F.col("plan_id").alias("of_plan"), F.col("revision").alias("of_revision"),
+                             "approval_id", F.col("approved_at").cast("timestamp").alias("approved_at"))
+    left = left.filter(F.col("changed_at").isNotNull()).withWatermark("changed_at", delay)
+    right = right.filter(F.col("approved_at").isNotNull()).withWatermark("approved_at", delay)
+    meets = (F.col("plan_id") == F.col("of_plan")) & (F.col("revision") == F.col("of_revision")) & (
+        F.col("approved_at") >= F.col("changed_at")) & (
+        F.col("approved_at") <= F.col("changed_at") + F.expr(f"INTERVAL {within}"))
+    return left.join(right, meets, "left_outer").select(
+        "plan_id", "revision", "change_id", F.col("changed_at").cast("timestamp_ntz").alias("changed_at"),
+        "approval_id", F.col("approved_at").cast("timestamp_ntz").alias("approved_at"))
+
+
 MERGE_EVERY = 32  # batches between whole copies of the state
 
 
