@@ -520,21 +520,38 @@ def const_binding_only(spark, sf):
     return K.const_binding_only(rows).select("o_orderkey")
 
 
-# Customers as modules: order k of customer c links module c to module k (k being a customer too).
+# Orders as modules: module k (order k) belongs to its customer's module; customers without an order of
+# their number are modules as well.  A module takes its nation, balance and segment from its customer.
 _LINKS = """
-WITH e AS (SELECT 'c' || o_custkey AS a, 'c' || c_custkey AS b, o_orderpriority AS p,
-             o_orderstatus AS s, o_orderkey AS k FROM orders JOIN customer ON c_custkey = o_orderkey)"""
+WITH e AS MATERIALIZED (SELECT 'c' || o_custkey AS a, 'c' || o_orderkey AS b, o_orderpriority AS p,
+             o_orderstatus AS s, o_orderkey AS k FROM orders),
+mods AS MATERIALIZED (SELECT 'c' || key AS id, coalesce(c_nationkey, -1) AS nation,
+    coalesce(c_acctbal, 0) AS balance, coalesce(c_mktsegment, '') AS segment
+  FROM (SELECT o_orderkey AS key, o_custkey AS cust FROM orders UNION ALL SELECT c_custkey, c_custkey
+    FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = c_custkey))
+  LEFT JOIN customer ON c_custkey = cust)"""
 
 
 def _links(spark, sf):
-    """(a, b, priority, status, k): a sparse directed graph over the customers."""
+    """(a, b, priority, status, k): a sparse directed graph over all orders, one way up each."""
     text = lambda c: F.concat(F.lit("c"), F.col(c).cast("string"))
-    return table(spark, sf, "orders").join(
-        table(spark, sf, "customer").select("c_custkey"),
-        F.col("o_orderkey") == F.col("c_custkey")
-    ).select(text("o_custkey").alias("a"), text("c_custkey").alias("b"),
-             F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"),
-             F.col("o_orderkey").alias("k"))
+    return table(spark, sf, "orders").select(
+        text("o_custkey").alias("a"), text("o_orderkey").alias("b"),
+        F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"),
+        F.col("o_orderkey").alias("k"))
+
+
+def _modules(spark, sf):
+    """(id, nation, balance, segment) of all modules of ``_links``."""
+    orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer")
+    keys = orders.select(F.col("o_orderkey").alias("key"), F.col("o_custkey").alias("c_custkey"))
+    alone = customers.join(keys.select(F.col("key").alias("c_custkey")), "c_custkey", "left_anti")
+    keys = keys.unionByName(alone.select(F.col("c_custkey").alias("key"), "c_custkey"))
+    return keys.join(customers, "c_custkey", "left").select(
+        F.concat(F.lit("c"), F.col("key").cast("string")).alias("id"),
+        F.coalesce("c_nationkey", F.lit(-1)).alias("nation"),
+        F.coalesce("c_acctbal", F.lit(0.0)).alias("balance"),
+        F.coalesce("c_mktsegment", F.lit("")).alias("segment"))
 
 
 def _chain_sql(hops: int) -> str:
@@ -554,7 +571,7 @@ def _chain_sql(hops: int) -> str:
 SELECT id AS import_id, x AS excluded FROM f16 UNION ALL SELECT id, true FROM s16
 UNION ALL SELECT k, true FROM e WHERE s = 'P'""")
 def type_only_exclude(spark, sf):
-    """Each customer module re-exports from the customer whose order carries its key."""
+    """Each order's module re-exports from its customer's."""
     e = _links(spark, sf)
     hops = e.select(F.col("b").alias("module"), F.lit("x").alias("name"),
                     F.col("a").alias("to_module"), F.lit("x").alias("to_name"),
@@ -610,9 +627,7 @@ def _component_table(spark, sf):
 
     e = _links(spark, sf)
     scope = [F.lit("shop").alias("project_id"), F.lit("full").alias("snapshot_id")]
-    nodes = table(spark, sf, "customer").select(
-        *scope, F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"),
-        F.lit("file").alias("kind"))
+    nodes = _modules(spark, sf).select(*scope, "id", F.lit("file").alias("kind"))
     edges = e.select(*scope, F.col("a").alias("source_id"), F.col("b").alias("target_id"),
                      F.lit("imports").alias("type"), F.lit("resolved").alias("resolution"))
     return e, stage(scc_condense(nodes, edges).drop(*SCOPE), "link-components")
@@ -624,7 +639,7 @@ reach(a, b) AS (SELECT a, b FROM ee UNION SELECT r.a, x.b FROM reach r JOIN ee x
 cyc AS MATERIALIZED (SELECT x.a AS id, min(x.b) AS c FROM reach x JOIN reach y ON y.a = x.b
     AND y.b = x.a GROUP BY x.a),
 comp AS MATERIALIZED (SELECT m.id, coalesce(c.c, m.id) AS component FROM
-    (SELECT 'c' || c_custkey AS id FROM customer) m LEFT JOIN cyc c ON c.id = m.id)"""
+    mods m LEFT JOIN cyc c ON c.id = m.id)"""
 
 
 def _rec(sql):
@@ -642,8 +657,8 @@ def module_cycle_flag(spark, sf):
 
 def _forward_sql(hops: int) -> str:
     parts = ["""h AS MATERIALIZED (SELECT b AS at_, a AS nx, e.p <> '1-URGENT'
-        AND coalesce(t.c_mktsegment, '') <> 'FURNITURE' AND m.c_acctbal >= -500 AS sound FROM e
-        JOIN customer t ON 'c' || t.c_custkey = e.a JOIN customer m ON 'c' || m.c_custkey = e.b)""",
+        AND t.segment <> 'FURNITURE' AND m.balance >= -500 AS sound FROM e
+        JOIN mods t ON t.id = e.a JOIN mods m ON m.id = e.b)""",
              "w0 AS (SELECT at_ AS st, at_ AS cur FROM h)",
              "p0 AS (SELECT st, cur AS leaf FROM w0 WHERE false)"]
     for n in range(1, hops + 1):
@@ -656,21 +671,19 @@ def _forward_sql(hops: int) -> str:
 
 
 @query("forwarding_chain", _LINKS + ",\n" + _forward_sql(17) + """,
-ok AS (SELECT p.st, p.leaf FROM p17 p JOIN customer c ON 'c' || c_custkey = p.leaf
-       WHERE c_acctbal >= -500)
+ok AS (SELECT p.st, p.leaf FROM p17 p JOIN mods ON id = p.leaf WHERE balance >= -500)
 SELECT DISTINCT h.at_ AS module, coalesce(leaf, h.at_) AS leaf, leaf IS NOT NULL AS proven
 FROM h LEFT JOIN ok ON ok.st = h.at_""")
 def forwarding_chain(spark, sf):
-    """Customer modules forward to each other; some by package name, some invalid or not
+    """Orders' modules forward to their customers'; some by package name, some invalid or not
     CommonJS."""
     e = _links(spark, sf)
     forwarders = e.select(
         F.col("b").alias("module"), F.col("a").alias("target"),
         F.when(F.col("p") == "1-URGENT", "pkg").otherwise("./x").alias("specifier"))
-    modules = table(spark, sf, "customer").select(
-        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("module"),
-        (F.col("c_acctbal") < -500).alias("invalid"),
-        F.when(F.col("c_mktsegment") == "FURNITURE", "esm").otherwise("commonjs").alias("mode"))
+    modules = _modules(spark, sf).select(
+        F.col("id").alias("module"), (F.col("balance") < -500).alias("invalid"),
+        F.when(F.col("segment") == "FURNITURE", "esm").otherwise("commonjs").alias("mode"))
     return K.forwarding_chain(forwarders, modules)
 
 
@@ -883,12 +896,11 @@ def alias_match(spark, sf):
     return C.alias_match(pages.drop("url"), aliases)
 
 
-# ---- configuration graphs: customers as configurations, linked as above -------------------------------------
+# ---- configuration graphs: modules as configurations, linked as above -------------------------------------
 def _configs(spark, sf):
-    return table(spark, sf, "customer").select(
-        F.concat(F.lit("w"), F.col("c_nationkey").cast("string")).alias("workspace"),
-        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("path"),
-        (F.col("c_acctbal") > -800).alias("own_valid"))
+    return _modules(spark, sf).select(
+        F.concat(F.lit("w"), F.col("nation").cast("string")).alias("workspace"),
+        F.col("id").alias("path"), (F.col("balance") > -800).alias("own_valid"))
 
 
 def _references(spark, sf):
@@ -902,8 +914,7 @@ def _references(spark, sf):
 
 
 _CFG = _LINKS + """,
-pr AS (SELECT 'w' || c_nationkey AS ws, 'c' || c_custkey AS path, c_acctbal > -800 AS own
-       FROM customer),
+pr AS MATERIALIZED (SELECT 'w' || nation AS ws, id AS path, balance > -800 AS own FROM mods),
 rf AS MATERIALIZED (SELECT a AS path, CASE WHEN p = '1-URGENT' AND s = 'P' THEN 'missing' || b ELSE b END
     AS target, k, CASE WHEN p = '5-LOW' AND s = 'P' THEN 'extension' END AS problem FROM e),
 rv AS MATERIALIZED (SELECT path, CASE WHEN problem IS NULL THEN target END AS target FROM rf)"""
@@ -973,8 +984,8 @@ def config_reachable(spark, sf):
 
 @query("config_extends_closure", _rec(_LINKS + """,
 ex AS MATERIALIZED (SELECT DISTINCT a AS path, CASE WHEN s = 'P' THEN 'x' || b ELSE b END AS target FROM e),
-w AS (SELECT 'c' || c_custkey AS root, 'c' || c_custkey AS path, ['c' || c_custkey] AS chain,
-    CAST(0 AS BIGINT) AS depth, CAST(NULL AS VARCHAR) AS problem FROM customer
+w AS (SELECT id AS root, id AS path, [id] AS chain,
+    CAST(0 AS BIGINT) AS depth, CAST(NULL AS VARCHAR) AS problem FROM mods
   UNION ALL SELECT w.root, x.target, list_append(w.chain, x.target), w.depth + 1,
     CASE WHEN list_contains(w.chain, x.target) THEN 'cycle' WHEN x.target LIKE 'x%' THEN 'missing'
       WHEN w.depth + 1 > 16 THEN 'depth' END
@@ -1036,11 +1047,10 @@ def scope_status_counts(spark, sf):
     return C.scope_status_counts(_scopes(spark, sf), [])
 
 
-@query("config_graph_view", """
+@query("config_graph_view", _LINKS + """
 SELECT ws AS workspace, path, position, observed, observed > 50 AS truncated FROM (
-  SELECT 'w' || c_nationkey AS ws, 'c' || c_custkey AS path, row_number() OVER (
-    PARTITION BY c_nationkey ORDER BY 'c' || c_custkey) AS position,
-  count(*) OVER (PARTITION BY c_nationkey) AS observed FROM customer) WHERE position <= 50""")
+  SELECT 'w' || nation AS ws, id AS path, row_number() OVER (PARTITION BY nation ORDER BY id)
+    AS position, count(*) OVER (PARTITION BY nation) AS observed FROM mods) WHERE position <= 50""")
 def config_graph_view(spark, sf):
     return C.config_graph_view("workspace", _configs(spark, sf), ["path"], 50).select(
         "workspace", "path", "position", "observed", "truncated")
