@@ -146,10 +146,11 @@ def path_within(spark, sf):
 
 
 @query("path_touches", with_graph("""
-p AS (SELECT id, coalesce(file_path, '.') AS p FROM nodes)
-SELECT c.id, a.p = b.p OR starts_with(a.p, b.p || '/') OR starts_with(b.p, a.p || '/')
-  OR b.p = '.' AS touches
-FROM contain c JOIN p a ON a.id = c.source_id JOIN p b ON b.id = c.target_id"""))
+p AS MATERIALIZED (SELECT id, coalesce(file_path, '.') AS p FROM nodes),
+ends AS MATERIALIZED (SELECT c.id, a.p AS a, b.p AS b FROM contain c JOIN p a ON a.id = c.source_id
+  JOIN p b ON b.id = c.target_id)
+SELECT id, a = b OR b = '.' OR starts_with(CASE WHEN length(a) < length(b) THEN b ELSE a END,
+  CASE WHEN length(a) < length(b) THEN a ELSE b END || '/') AS touches FROM ends""", once=True))
 def path_touches(spark, sf):
     g = star_graph(spark, sf, types=("contains",))
     at = F.coalesce("file_path", F.lit("."))

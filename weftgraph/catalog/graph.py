@@ -307,11 +307,11 @@ def layout_target(spark, sf):
 
 @query("integrity_check", with_graph("""
 n AS (SELECT * FROM nodes WHERE kind <> 'external'),
-missing AS (SELECT id, target_id AS detail FROM relations WHERE target_id IS NOT NULL
-            AND target_id NOT IN (SELECT id FROM n)),
+missing AS (SELECT r.id, target_id AS detail FROM relations r ANTI JOIN n ON n.id = target_id
+            WHERE target_id IS NOT NULL),
 raw AS (SELECT l_orderkey || ':' || l_linenumber AS id, count(*) AS k FROM lineitem GROUP BY 1)
 SELECT 'DANGLING_ENDPOINT' AS code, id, detail FROM missing
-UNION ALL SELECT 'DUPLICATE_RELATION', id, CAST(k AS VARCHAR) FROM raw WHERE k > 1"""))
+UNION ALL SELECT 'DUPLICATE_RELATION', id, CAST(k AS VARCHAR) FROM raw WHERE k > 1""", once=True))
 def integrity_check(spark, sf):
     """A damaged graph: externals dropped and line items keyed by order and line only."""
     g = star_graph(spark, sf)
@@ -332,9 +332,13 @@ def bfs_sql(seeds: str, edges: str, nodes: str, depth: int, budget: int) -> str:
     ctes = [
         f"bn AS MATERIALIZED (SELECT * FROM {nodes})",
         f"be AS MATERIALIZED (SELECT * FROM {edges})",
-        """adj AS MATERIALIZED (SELECT DISTINCT a AS hub, b AS nb FROM (
+        """near AS (SELECT DISTINCT a AS hub, b AS nb FROM (
              SELECT source_id AS a, target_id AS b FROM be UNION ALL
-             SELECT target_id, source_id FROM be) WHERE a <> b AND b IN (SELECT id FROM bn))""",
+             SELECT target_id, source_id FROM be) SEMI JOIN bn ON bn.id = b WHERE a <> b)""",
+        # A request has at most `budget` nodes: past them, `budget` + 1 of a hub's least neighbours
+        # fill it and tell that it overflows, so further ones never matter.
+        f"""adj AS MATERIALIZED (SELECT hub, nb FROM (SELECT *, row_number() OVER (
+             PARTITION BY hub ORDER BY nb) AS nth FROM near) WHERE nth <= {2 * budget + 1})""",
         f"""q0 AS (SELECT req, id, row_number() OVER (PARTITION BY req ORDER BY id) AS pos
              FROM ({seeds}))""",
         f"s0 AS MATERIALIZED (SELECT req, id, 0 AS level FROM q0 WHERE pos <= {budget})",
@@ -411,7 +415,7 @@ def _neighbourhood(spark, sf):
 
 @query("subgraph_bfs", with_graph(_BFS + """
 SELECT s.req AS request_id, s.id, s.level, o.req IS NOT NULL AS truncated
-FROM sel s LEFT JOIN over_ o ON s.req = o.req"""))
+FROM sel s LEFT JOIN over_ o ON s.req = o.req""", once=True))
 def subgraph_bfs(spark, sf):
     out = _neighbourhood(spark, sf)
     return _flat(
@@ -474,7 +478,7 @@ def subgraph_by_relation(spark, sf):
 u AS (SELECT source_id AS node_id, count(*) AS unknown FROM calls WHERE resolution <> 'resolved'
       GROUP BY 1)
 SELECT c.req AS request_id, c.id, coalesce(unknown, 0) AS unknown, o.req IS NOT NULL AS truncated
-FROM chosen c LEFT JOIN u ON u.node_id = c.req LEFT JOIN over_ o ON o.req = c.req"""))
+FROM chosen c LEFT JOIN u ON u.node_id = c.req LEFT JOIN over_ o ON o.req = c.req""", once=True))
 def function_dependencies(spark, sf):
     g = star_graph(spark, sf, types=CALLS)
     all_nodes, calls = g.nodes, g.relations

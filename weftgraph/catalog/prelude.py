@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 _FULL_TAGS = "SELECT 'full' AS snapshot_id, * FROM orders"
 _PAIR_TAGS = """SELECT 'base' AS snapshot_id, * FROM orders
     WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')
@@ -87,8 +89,15 @@ relations AS (SELECT * FROM calls UNION ALL SELECT * FROM imports UNION ALL SELE
 """
 
 
-def with_graph(body: str, pair: bool = False) -> str:
-    """``body`` is either a SELECT or further CTEs (``name AS (...), ... SELECT``)."""
+def with_graph(body: str, pair: bool = False, once: bool = False) -> str:
+    """``body`` is either a SELECT or further CTEs (``name AS (...), ... SELECT``).
+
+    ``once`` materialises the tables of the graph, for statements that read them many times.
+    """
     text = body.strip()
     sep = "\n" if text[:6].upper() == "SELECT" else ",\n"
-    return "WITH " + prelude(pair) + sep + text
+    graph = prelude(pair)
+    if once:
+        graph = re.sub(r"(?m)^(files0|nodes|calls|imports|contain) AS \(", r"\1 AS MATERIALIZED (",
+                       graph)
+    return "WITH " + graph + sep + text

@@ -229,12 +229,12 @@ def _group_tables(spark, sf):
 
 @query("group_projection", with_graph(_GRP + """
 SELECT id AS view_id, 'node' AS role, CAST(NULL AS BIGINT) AS total, CAST(NULL AS BIGINT) AS unknown
-FROM nodes WHERE id NOT IN (SELECT id FROM inside)
-UNION ALL SELECT 'group:' || group_id, 'group', count(*), count(*) FILTER (WHERE id NOT IN
-  (SELECT id FROM nodes WHERE kind = 'function')) FROM mem
+FROM nodes ANTI JOIN inside USING (id)
+UNION ALL SELECT 'group:' || group_id, 'group', count(*), count(*) FILTER (WHERE f.id IS NULL)
+  FROM mem LEFT JOIN (SELECT id FROM nodes WHERE kind = 'function') f USING (id)
   WHERE group_id IN (SELECT group_id FROM inside) GROUP BY group_id
 UNION ALL SELECT 'group-member:' || group_id || ':' || id, 'alias', NULL, NULL FROM inside
-  WHERE NOT collapsed"""))
+  WHERE NOT collapsed""", once=True))
 def group_projection(spark, sf):
     groups, members = _group_tables(spark, sf)
     nodes = star_graph(spark, sf).nodes.select("id", "kind", F.lit("fact").alias("layer"))
@@ -471,7 +471,7 @@ SELECT n.id, CASE WHEN n.id = 'folder:.' THEN n.id WHEN p.id = 'folder:.' THEN p
   WHEN g.id = 'folder:.' THEN g.id || chr(1) || p.id || chr(1) || n.id
   ELSE h.id || chr(1) || g.id || chr(1) || p.id || chr(1) || n.id END AS sort_path
 FROM nodes n LEFT JOIN nodes p ON p.id = n.parent_id LEFT JOIN nodes g ON g.id = p.parent_id
-LEFT JOIN nodes h ON h.id = g.parent_id WHERE n.kind IN ('file', 'folder')"""))
+LEFT JOIN nodes h ON h.id = g.parent_id WHERE n.kind IN ('file', 'folder')""", once=True))
 def structure_preorder(spark, sf):
     return Z.structure_preorder(star_graph(spark, sf).nodes).drop(*SCOPE).orderBy("sort_path")
 
