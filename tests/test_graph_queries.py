@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from helpers import P, S, collect, node, nodes, ordered, rel, relations, request
 from weftgraph.operators import context as C
 from weftgraph.operators import integrity as I
 from weftgraph.operators import paging as G
+from weftgraph.operators import postings
 from weftgraph.operators import search as Q
 from weftgraph.operators import traverse as T
 
@@ -40,6 +42,39 @@ def test_search_finds_every_field(spark, tiny):
         ("main.ts", "a"), ("main.ts", "b")]
 
 
+def test_posting_lists_come_back():
+    rng = np.random.default_rng(4)
+    lists = [np.sort(rng.choice(top, size, replace=False)) + 1
+             for top, size in ((300, 300), (1, 1), (10**6, 40), (2**31, 9))]
+    offsets = np.cumsum([0] + [len(x) for x in lists])
+    raw, ends = postings.encode(np.concatenate(lists), offsets)
+    for n, want in enumerate(lists):
+        assert postings.decode(raw[ends[n]:ends[n + 1]].tobytes()).tolist() == want.tolist()
+    assert ends[1] == 300  # a byte a neighbour
+
+
+def test_search_by_posting_lists_equals_a_scan(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK", 16)  # many blocks
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices("abÉ𝄞é/", k=n))
+    scopes = [(P, S), (P, "s2")]
+    rows = [node(f"f{i}", name=word(rng.randint(1, 6)), path=rng.choice([None, "", word(9)]),
+                 q=rng.choice([None, word(4)]), scope=rng.choice(scopes)) for i in range(300)]
+    rows.append(node("file", "file", "abab"))
+    asked = [(*s, q) for s in scopes for q in [word(rng.randint(1, 5)) for _ in range(60)] + ["zz", ""]]
+    got = collect(Q.search_matches(nodes(spark, rows), spark.createDataFrame(
+        asked, "project_id string, snapshot_id string, q string")), "snapshot_id", "q", "id")
+    want = {(s, q.lower(), r[2]) for p, s, q in asked for r in rows
+            if r[1] == s and r[3] == "function"
+            and any(q.lower() in (r[c] or "").lower() for c in (4, 5, 6))}
+    assert got == sorted(want)
+
+
+def test_search_of_nothing(spark, tiny):
+    assert not collect(Q.search_matches(tiny[0], _ask(spark, "a").limit(0)), "q", "id")
+    assert not collect(Q.search_matches(tiny[0].limit(0), _ask(spark, "a", "")), "q", "id")
+
+
 def test_search_pages_in_name_order(spark, tiny):
     page = Q.search_functions(tiny[0], _ask(spark, ""), 1, 1)
     assert ordered(page, "id", "position", "total") == [("b", 2, 2)]

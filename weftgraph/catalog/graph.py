@@ -9,6 +9,7 @@ from ..operators import integrity as I
 from ..operators import paging as P
 from ..operators import search as S
 from ..operators import traverse as T
+from ..operators.postings import GramIndex, gram_index
 from ..schemas import SCOPE
 from ..sources.star_graph import PAIR, contains, graph_nodes as star_nodes, star_graph
 from ..staging import stage, table
@@ -34,6 +35,17 @@ def calls_by_file(spark, sf):
     return C.calls_by_file(g.nodes, g.relations).drop(*SCOPE)
 
 
+_INDEXES: dict[tuple, GramIndex] = {}
+
+
+def _search_index(spark, sf, nodes) -> GramIndex:
+    """The search index of the published graph, written once per application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        _INDEXES[key] = gram_index(nodes)
+    return _INDEXES[key]
+
+
 # ---- listings -------------------------------------------------------------------------------
 @query("search_functions", with_graph("""
 req AS (SELECT DISTINCT word AS q FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part)
@@ -53,7 +65,8 @@ def search_functions(spark, sf):
         F.lit("shop").alias("project_id"), F.lit("full").alias("snapshot_id"),
         F.col("q").alias("request_id"), "q",
     )
-    found = S.search_functions(star_nodes(spark, sf), asked)
+    everyone = star_nodes(spark, sf)
+    found = S.search_functions(everyone, asked, index=_search_index(spark, sf, everyone))
     return found.select("request_id", "id", "position", "total")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import ENTRYPOINT_CAP, NODE_BUDGET, NODE_BUDGET_MAX, SCOPE, SCOPE_EDGE_CAP
-from .paging import check_budget, page, prefix_ranks, top_n, totals
+from .paging import check_budget, page, top_n, totals
+from .postings import GramIndex, gram_index, matches
 
 
 def node_order() -> list[Column]:
@@ -20,34 +21,25 @@ def normalize_query(text: Column) -> Column:
     return F.lower(F.trim(F.coalesce(text, F.lit(""))))
 
 
-#: Queries that meet a function together.
-QUERY_BLOCK = 256
-
-
-def search_matches(nodes: DataFrame, requests: DataFrame) -> DataFrame:
+def search_matches(nodes: DataFrame, requests: DataFrame,
+                   index: GramIndex | None = None) -> DataFrame:
     """(q, node) matches for distinct normalized queries: q is a substring of a field.
 
-    The distinct queries of a snapshot are numbered and cut into blocks of QUERY_BLOCK; a block
-    travels as one array, and each function is tested against a block in one pass.  Any number of
-    queries is so many blocks of one plan.
+    Queries meet posting lists (``postings``), not functions; the index of the nodes is built when
+    none is given.  The empty query matches every function.
     """
     functions = nodes.filter(F.col("kind") == "function")
     asked = requests.select(*SCOPE, normalize_query(F.col("q")).alias("q")).distinct()
-    numbered = prefix_ranks(asked, SCOPE, F.substring("q", 1, 2), [F.col("q")], "nth")
-    blocks = numbered.groupBy(*SCOPE, F.floor((F.col("nth") - 1) / QUERY_BLOCK).alias("block")).agg(
-        F.collect_list("q").alias("qs")).drop("block")
-    name, qualified, path = (F.lower(F.coalesce(F.col(c), F.lit("")))
-                             for c in ("name", "qualified_name", "file_path"))
-    hits = F.filter(
-        "qs", lambda q: name.contains(q) | qualified.contains(q) | path.contains(q)
-    )
-    return functions.join(blocks, SCOPE).withColumn("q", F.explode(hits)).drop("qs")
+    found = matches(index or gram_index(nodes), asked.filter(F.col("q") != ""))
+    every = functions.join(asked.filter(F.col("q") == ""), SCOPE)
+    return functions.join(found, [*SCOPE, "id"]).unionByName(every)
 
 
 def search_functions(nodes: DataFrame, requests: DataFrame, offset: int = 0,
-                     limit: int = 50) -> DataFrame:
+                     limit: int = 50, index: GramIndex | None = None) -> DataFrame:
     """Page of functions for each request ``(project_id, snapshot_id, request_id, q)``."""
-    found = page(search_matches(nodes, requests), [*SCOPE, "q"], node_order(), offset, limit)
+    found = page(search_matches(nodes, requests, index), [*SCOPE, "q"], node_order(), offset,
+                 limit)
     asked = requests.select(*SCOPE, "request_id", normalize_query(F.col("q")).alias("q"))
     return asked.join(found, [*SCOPE, "q"])
 
