@@ -26,26 +26,24 @@ from ..staging import stage
 WIDTH, RAREST = 3, 3
 #: Texts of a block, on average.
 BLOCK = 16384
+#: What a match carries: the function's id and what functions are ordered by.
+NODE = ["id", "name", "file_path"]
 
 
 class GramIndex(NamedTuple):
-    owners: DataFrame  # scope, id, text: the texts of every function
+    owners: DataFrame  # scope, id, name, file_path, text: the texts of every function
     texts: DataFrame  # scope, block, place, text
     lists: DataFrame  # scope, gram, block, n, gaps
 
 
-def _grams(text: Column, width: int) -> Column:
-    """All grams of one width, with repeats, in time linear in the text."""
+def _grams(text: Column) -> list[Column]:
+    """All grams of one, two and three characters, with repeats and null ends, in linear time."""
     letters = F.filter(F.split(text, ""), lambda c: c != "")
-
-    def at(start):
-        return F.concat(*[F.get(start, F.lit(i)) for i in range(width)])
-
-    if width == 1:
-        return letters
-    return F.transform(
-        F.filter(F.transform(letters, lambda c, i: F.slice(letters, i + 1, width)),
-                 lambda part: F.size(part) == width), at)
+    levels = [letters]
+    for width in range(2, WIDTH + 1):
+        levels.append(F.zip_with(levels[-1], F.slice(letters, width, F.length(text)),
+                                 lambda gram, letter: F.concat(gram, letter)))
+    return levels
 
 
 def encode(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +102,7 @@ def gram_index(nodes: DataFrame) -> GramIndex:
     fields = [F.lower(c) for c in ("name", "qualified_name", "file_path")]
     owners = stage(
         nodes.filter(F.col("kind") == "function").select(
-            *SCOPE, "id", F.explode(F.array_distinct(F.array(*fields))).alias("text")
+            *SCOPE, *NODE, F.explode(F.array_distinct(F.array(*fields))).alias("text")
         ).filter(F.col("text") != ""), "gram-owners")
     texts = owners.select(*SCOPE, "text").distinct()
     blocks = texts.groupBy(*SCOPE).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
@@ -113,8 +111,7 @@ def gram_index(nodes: DataFrame) -> GramIndex:
         texts.join(blocks, SCOPE)
         .withColumn("block", F.pmod(F.xxhash64("text"), F.col("blocks"))).drop("blocks")
         .withColumn("place", F.row_number().over(inside).cast("bigint")), "gram-texts")
-    every = F.array_distinct(F.flatten(F.array(*[_grams(F.col("text"), w)
-                                                 for w in range(1, WIDTH + 1)])))
+    every = F.array_distinct(F.array_compact(F.flatten(F.array(*_grams(F.col("text"))))))
     places = numbered.select(*SCOPE, "block", "place", F.explode(every).alias("gram")).groupBy(
         *SCOPE, "gram", "block").agg(F.sort_array(F.collect_list("place")).alias("places"))
     kinds = {f.name: f.dataType.simpleString() for f in owners.schema}
@@ -124,14 +121,14 @@ def gram_index(nodes: DataFrame) -> GramIndex:
 
 
 def matches(index: GramIndex, asked: DataFrame) -> DataFrame:
-    """Distinct (scope, id, q) of functions with a text that contains ``q``.
+    """Distinct (scope, id, name, file_path, q) of functions with a text that contains ``q``.
 
     ``asked``: distinct (scope, q) in lower case, not empty.  A query with a gram that no text has
     is done at once; the lists of the others meet block by block.
     """
     size = F.length("q")
-    own = F.when(size == 1, F.array("q")).when(size == 2, F.array("q")).otherwise(
-        F.array_distinct(_grams(F.col("q"), WIDTH)))
+    own = F.when(size < WIDTH, F.array("q")).otherwise(
+        F.array_distinct(F.array_compact(_grams(F.col("q"))[-1])))
     grams = asked.select(*SCOPE, "q", own.alias("grams")).select(
         *SCOPE, "q", F.size("grams").alias("need"), F.explode("grams").alias("gram"))
     wanted = grams.select(*SCOPE, "gram").distinct()
@@ -155,4 +152,5 @@ def matches(index: GramIndex, asked: DataFrame) -> DataFrame:
     ).withColumn("place", F.explode("place"))
     found = places.join(index.texts, [*SCOPE, "block", "place"]).filter(
         F.col("text").contains(F.col("q"))).select(*SCOPE, "text", "q")
-    return found.join(index.owners, [*SCOPE, "text"]).select(*SCOPE, "id", "q").distinct()
+    return found.join(index.owners, [*SCOPE, "text"]).select(
+        *SCOPE, *NODE, "q").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schemas import ENTRYPOINT_CAP, NODE_BUDGET, NODE_BUDGET_MAX, SCOPE, SCOPE_EDGE_CAP
 from .paging import check_budget, page, top_n, totals
-from .postings import GramIndex, gram_index, matches
+from .postings import NODE, GramIndex, gram_index, matches
 
 
 def node_order() -> list[Column]:
@@ -21,6 +21,15 @@ def normalize_query(text: Column) -> Column:
     return F.lower(F.trim(F.coalesce(text, F.lit(""))))
 
 
+def _found(nodes: DataFrame, requests: DataFrame, index: GramIndex | None) -> DataFrame:
+    """(scope, id, name, file_path, q) of all matches: narrow rows."""
+    asked = requests.select(*SCOPE, normalize_query(F.col("q")).alias("q")).distinct()
+    some = matches(index or gram_index(nodes), asked.filter(F.col("q") != ""))
+    every = nodes.filter(F.col("kind") == "function").select(*SCOPE, *NODE).join(
+        asked.filter(F.col("q") == ""), SCOPE)
+    return some.unionByName(every)
+
+
 def search_matches(nodes: DataFrame, requests: DataFrame,
                    index: GramIndex | None = None) -> DataFrame:
     """(q, node) matches for distinct normalized queries: q is a substring of a field.
@@ -29,19 +38,21 @@ def search_matches(nodes: DataFrame, requests: DataFrame,
     none is given.  The empty query matches every function.
     """
     functions = nodes.filter(F.col("kind") == "function")
-    asked = requests.select(*SCOPE, normalize_query(F.col("q")).alias("q")).distinct()
-    found = matches(index or gram_index(nodes), asked.filter(F.col("q") != ""))
-    every = functions.join(asked.filter(F.col("q") == ""), SCOPE)
-    return functions.join(found, [*SCOPE, "id"]).unionByName(every)
+    found = _found(nodes, requests, index).select(*SCOPE, "id", "q")
+    return functions.join(found, [*SCOPE, "id"])
 
 
 def search_functions(nodes: DataFrame, requests: DataFrame, offset: int = 0,
                      limit: int = 50, index: GramIndex | None = None) -> DataFrame:
-    """Page of functions for each request ``(project_id, snapshot_id, request_id, q)``."""
-    found = page(search_matches(nodes, requests, index), [*SCOPE, "q"], node_order(), offset,
-                 limit)
+    """Page of functions for each request ``(project_id, snapshot_id, request_id, q)``.
+
+    Matches are paged as narrow rows; whole nodes are read for the rows of the pages only.
+    """
+    found = page(_found(nodes, requests, index), [*SCOPE, "q"], node_order(), offset, limit)
     asked = requests.select(*SCOPE, "request_id", normalize_query(F.col("q")).alias("q"))
-    return asked.join(found, [*SCOPE, "q"])
+    functions = nodes.filter(F.col("kind") == "function")
+    return asked.join(found.drop("name", "file_path"), [*SCOPE, "q"]).join(
+        functions, [*SCOPE, "id"])
 
 
 def entrypoints(nodes: DataFrame, cap: int = ENTRYPOINT_CAP) -> DataFrame:
