@@ -24,8 +24,9 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each class of texts whose five-word shingles are alike."""
-    return near_copies.keep_first(docs)
+    """The document of least id of each class of texts that SimHash links, as ``op8`` does, or whose
+    five-word shingles are alike: the exact join finds what lies beyond the radius."""
+    return near_copies.keep_alike(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

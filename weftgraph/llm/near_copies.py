@@ -21,6 +21,9 @@ Defined results: case of A-Z is ignored; a text of fewer than five words is one
 words (null ones too) are one class; equal texts are one class; a class of null ids only has a null
 component_id; repeated rows are rows of one class; an empty table gives no rows; extra columns are
 ignored, and kept by ``keep_first``.
+
+The pipeline's stage links texts by SimHash (``simhash``) first; the classes of ``keep_alike`` are those of
+its links and of the exact ones together.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ from weftgraph.staging import release
 from .common import bounded, stage
 from .components import stars
 from .packs import planes, squeeze, unplanes, unsqueeze
+from . import simhash
 from .simhash import first_rows, text_hash
 
 SHINGLE = 5
@@ -246,15 +250,31 @@ def links(found: DataFrame) -> DataFrame:
         done, until = until, 2 * until + 1
 
 
-def classes(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``fp, component_id, component_hash`` of the texts of ``rows`` (doc_id, text_hash, fp)."""
+def simhash_links(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(u, v) of every text of a SimHash class but its least key, and that key."""
+    prints = stage(simhash.fingerprints(docs), "near-fingerprints")
+    found = simhash.components(prints).select(F.col("fp").alias("print"), "component_fp")
+    of_text = rows.groupBy("text_hash").agg(F.first("fp").alias("fp"))
+    texts_of = prints.groupBy("text_hash").agg(F.first("fp").alias("print"))
+    members = stage(of_text.join(texts_of, "text_hash").join(found, "print").select(
+        "component_fp", "fp").distinct(), "near-alike")
+    least = members.groupBy("component_fp").agg(F.min("fp").alias("v"))
+    return members.join(least, "component_fp").where("fp != v").select(F.col("fp").alias("u"), "v")
+
+
+def classes(docs: DataFrame, rows: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """``fp, component_id, component_hash`` of the texts of ``rows`` (doc_id, text_hash, fp), linked
+    by likeness and by the pairs of texts of ``more`` (u, v)."""
     size = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
     blocks = stage(text_blocks(docs, rows), "near-texts")
     ranks = stage(counted(blocks, max(-(-size // (6 * RANGE)), 1)), "near-ranks")
     found = stage(prefixes(blocks, ranks), "near-prefixes")
     release(blocks, ranks)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
-    known = rows.groupBy("fp").agg(first.alias("first")).join(links(found), "fp", "left").select(
+    linked = links(found)
+    if more is not None:
+        linked = stars(linked.toDF("u", "v").union(more)).toDF("fp", "root")
+    known = rows.groupBy("fp").agg(first.alias("first")).join(linked, "fp", "left").select(
         "fp", F.coalesce("root", "fp").alias("root"), "first")
     release(found)
     least = known.groupBy("root").agg(F.min("first").alias("first"))
@@ -279,3 +299,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each class, the one of least id, with all its columns."""
     return first_rows(docs, classes(docs, keys(docs)))
+
+
+def keep_alike(docs: DataFrame) -> DataFrame:
+    """As ``keep_first``, of the classes that SimHash links and exact likeness make together."""
+    rows = keys(docs)
+    return first_rows(docs, classes(docs, rows, simhash_links(docs, rows)))
