@@ -236,9 +236,10 @@ def train(features_of: DataFrame, labels: DataFrame) -> Model:
 
     def total(w: np.ndarray) -> np.ndarray:
         def add(table: pa.Table) -> pa.Table:
-            table = table.sort_by("doc_id")
-            z = expanded(matrix(table.column("x")), mean, scale)
-            own = sums(differences(z, table.column("label").to_numpy()), w)
+            x, label = matrix(table.column("x")), table.column("label").to_numpy()
+            order = np.lexsort((*x.T[::-1], label))  # the same pairs whatever order rows come in
+            z = expanded(x[order], mean, scale)
+            own = sums(differences(z, label[order]), w)
             return pa.table({"cell": table.column("cell")[:1], "sums": pa.array([own.tolist()])})
 
         parts = cells.groupBy("cell").applyInArrow(add, "cell int, sums array<double>").collect()
