@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from weftgraph.staging import release
 
 from .common import bounded, stage
-from .components import stars
+from .components import few_tasks, stars
 from .packs import planes, squeeze, unplanes, unsqueeze
 from . import simhash
 from .simhash import first_rows, text_hash
@@ -237,10 +237,12 @@ def links(found: DataFrame) -> DataFrame:
             F.count_if("hub").alias("hubs")).where(
             (F.col("a") != F.col("b")) & (F.col("hubs") > done)).select("token")
         live = stage(now.join(mixed, "token"), "near-live")
-        if live.isEmpty():
+        n = live.count()
+        if not n:
+            release(live, rows)
             return roots
-        pairs = stage(meetings(live, done, until), "near-pairs")
-        new = stage(confirmed(pairs, sets), "near-links")
+        pairs = stage(meetings(few_tasks(live, n), done, until), "near-pairs")
+        new = stage(confirmed(few_tasks(pairs, pairs.count()), sets), "near-links")
         if not new.isEmpty():
             last = roots
             roots = stars(last.toDF("u", "v").union(new))
