@@ -103,3 +103,24 @@ def test_only_piles_are_moved(spark):
     assert {r["k"]: sorted(r["l"]) for r in rows.groupBy("k").agg(
         F.collect_list("i").alias("l")).collect()} == {
             "a": list(range(1, 26)), "b": [1, 2, 3], "d": list(range(1, 11))}
+
+
+def test_a_fact_is_written_once_and_only_when_asked_for(spark, small, monkeypatch):
+    """Snapshots share what both hold, containment is read off the nodes, other types wait."""
+    written = {}
+
+    def counted(df, name, partition_by=None, real=S.stage):
+        written[name] = real(df, name, partition_by)
+        return written[name]
+
+    monkeypatch.setattr(S, "_PUBLISHED", {})
+    monkeypatch.setattr(S, "stage", counted)
+    nodes, relations = S.publish(spark, small, S.PAIR, ("calls", "contains"))
+    assert set(written) == {"nodes", "calls"}
+    assert {r["type"] for r in relations.select("type").distinct().collect()} == {"calls", "contains"}
+    for held, rows in ((written["nodes"], nodes), (written["calls"], relations.filter("type = 'calls'"))):
+        assert held.count() == rows.select("id").distinct().count() < rows.count()
+    S.publish(spark, small, S.PAIR)
+    assert set(written) == {"nodes", "calls", "imports"}
+    plan = relations.filter("snapshot_id = 'cur'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "cur AS" in plan and "base AS" not in plan
