@@ -256,3 +256,18 @@ def test_every_operation_field_changes_the_plan_hash(spark):
         for j in [r["j"] for r in ops.select(F.to_json(F.array(*OPERATION_FIELDS)).alias("j"))
                   .limit(7).collect()]}
     assert len(digests) == 7
+
+
+def test_symbol_candidates_move_as_ids(spark):
+    """Kind and place of a node are read by its id once it is bound; candidates carry the id alone."""
+    from weftgraph.plans import verify as V
+
+    nodes = spark.createDataFrame(
+        [("b", "function", "f", "x.py", 1), ("a", "function", "f", "x.py", 2), (None, "file", "f", "y.py", 3)],
+        "id string, kind string, name string, file_path string, start_line long")
+    found = V._candidates(nodes, "kind", "name")
+    assert found.columns == ["kind", "name", "n", "found_id"]
+    assert sorted(tuple(r) for r in found.collect() if r["found_id"]) == [("function", "f", 2, "a")]
+    known = {r["id"]: (r["n_id"], r["hit"]["found_kind"], r["hit"]["found_at"])
+             for r in V._described(nodes).collect()}
+    assert known.keys() == {"a", "b"} and known["a"][:2] == (1, "function") and "x.py" in known["a"][2]
