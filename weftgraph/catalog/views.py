@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import condense as Z
 from ..operators import views as V
+from ..operators.asked import Asked
 from ..operators.paging import top_n
 from ..plans import overlay as O
 from ..plans import state as S
@@ -509,9 +510,10 @@ ax AS (SELECT DISTINCT plan_id, id FROM ovn)"""
 def _overlay(spark, sf):
     c = _load(spark, sf, ("calls",))
     touched = S.of_kind(c.ops, "move_function", "remove_function")
+    asked = Asked(touched.select("node_id"))
     view = touched.select("plan_id", F.col("node_id").alias("id")).distinct().join(
-        c.nodes.select("id"), "id", "left_semi")
-    edges = c.relations.filter(F.col("type") == "calls").join(
+        asked.among(c.nodes.select("id"), "id"), "id", "left_semi")
+    edges = asked.among(c.relations.filter(F.col("type") == "calls"), "source_id").join(
         view.withColumnRenamed("id", "source_id"), "source_id").drop(*SCOPE)
     view, edges = stage(view, "plan-view"), stage(edges, "plan-view-edges")
     return c, view, edges, O.overlay_nodes(view, c.ops, edges, c.nodes)

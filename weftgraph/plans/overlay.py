@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.paths import function_target, normalize_repo_path, symbol_location
+from ..operators.asked import Asked
+from ..staging import stage
 from .state import of_kind
 
 OP_FIELDS = ["kind", "temp_id", "name", "file_path", "signature", "language", "node_id",
@@ -53,8 +55,9 @@ def overlay_nodes(view_nodes: DataFrame, ops: DataFrame, view_edges: DataFrame,
                   reference: DataFrame, choice: str = "both") -> DataFrame:
     """(plan_id, id, layer, file_path): loaded facts, planned functions and anchors."""
     ops = ops if choice != "fact" else ops.limit(0)
-    referenced = overlay_referenced(ops, view_edges)
-    facts = reference.select("id", "file_path")
+    referenced = stage(overlay_referenced(ops, view_edges), "overlay-referenced")
+    shown_or_named = view_nodes.select("id").unionByName(referenced.select("id"))
+    facts = Asked(shown_or_named).among(reference.select("id", "file_path"), "id")
     loaded = view_nodes.select("plan_id", "id").join(facts, "id", "left")
     if choice == "plan":
         loaded = loaded.join(referenced, ["plan_id", "id"], "left_semi")
@@ -137,9 +140,11 @@ def affected_nodes(ops: DataFrame, previous: DataFrame, relations: DataFrame) ->
     planned = of_kind(ops, "add_relation").unionByName(of_kind(previous, "add_relation")).groupBy(
         "plan_id", "relation_id").agg(
         F.min(F.struct("source_id", "target_id")).alias("p"))
-    facts = relations.select(F.col("id").alias("relation_id"),
-                             F.struct("source_id", "target_id").alias("f"))
-    dropped = of_kind(changed, "remove_relation").select("plan_id", "relation_id").join(
+    removed = stage(of_kind(changed, "remove_relation").select("plan_id", "relation_id"),
+                    "removed-relations")
+    facts = Asked(removed.select("relation_id")).among(relations, "id").select(
+        F.col("id").alias("relation_id"), F.struct("source_id", "target_id").alias("f"))
+    dropped = removed.join(
         facts, "relation_id", "left").join(planned, ["plan_id", "relation_id"], "left").select(
         "plan_id", F.coalesce("f", "p").alias("e")).select(
         "plan_id", F.explode(F.array_compact(F.array("e.source_id", "e.target_id"))).alias("id"))
