@@ -31,7 +31,10 @@ class Asked:
         return F.pmod(F.xxhash64(*columns), F.lit(self.bits))
 
     def among(self, rows: DataFrame, *columns: str) -> DataFrame:
-        """``rows`` without most of those whose ``columns`` (in the order of the keys) were not asked."""
+        """``rows`` without most of those whose ``columns`` (in the order of the keys) were not asked.
+
+        Join or aggregate what is left; the optimizer pushes a semi or anti join *of* it below this.
+        """
         marked = rows.withColumn("_bit", self._bit(columns)).withColumn(
             "_word", F.shiftright("_bit", 6))
         return marked.join(F.broadcast(self.words), "_word").filter(

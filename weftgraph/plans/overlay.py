@@ -136,12 +136,11 @@ def affected_operations(ops: DataFrame, previous: DataFrame) -> DataFrame:
 
 def affected_nodes(ops: DataFrame, previous: DataFrame, relations: DataFrame) -> DataFrame:
     """Distinct nodes touched by changed operations, without planned functions that are gone."""
-    changed = affected_operations(ops, previous)
+    changed = stage(affected_operations(ops, previous), "changed-operations")
     planned = of_kind(ops, "add_relation").unionByName(of_kind(previous, "add_relation")).groupBy(
         "plan_id", "relation_id").agg(
         F.min(F.struct("source_id", "target_id")).alias("p"))
-    removed = stage(of_kind(changed, "remove_relation").select("plan_id", "relation_id"),
-                    "removed-relations")
+    removed = of_kind(changed, "remove_relation").select("plan_id", "relation_id")
     facts = Asked(removed.select("relation_id")).among(relations, "id").select(
         F.col("id").alias("relation_id"), F.struct("source_id", "target_id").alias("f"))
     dropped = removed.join(

@@ -155,12 +155,11 @@ class Verification:
         functions = self.nodes.filter(F.col("kind") == "function").withColumn(
             "label", F.explode(F.array_distinct(F.array_compact(F.array("name", "qualified_name"))))
         )
-        # Only functions that are asked for by path and label move and are counted.
+        # Only functions that are asked for by path and label move and are counted.  (A semi join here
+        # would be pushed below the test of the bits and move them all.)
         wanted = added.select(F.col("path").alias("file_path"), F.col("add_name").alias("label"))
-        by_label = _candidates(Asked(wanted).among(functions.select(
-            "file_path", "label", "language", "signature", "id"
-        ), "file_path", "label").join(wanted.distinct(), ["file_path", "label"], "left_semi"),
-            "file_path", "label", "language", "signature")
+        by_label = _candidates(Asked(wanted).among(functions, "file_path", "label"),
+                               "file_path", "label", "language", "signature")
         hits_added = (
             added.join(by_label, (F.col("path") == F.col("file_path"))
                        & (F.col("add_name") == F.col("label"))
