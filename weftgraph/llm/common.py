@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from weftgraph.staging import stage  # noqa: F401  (used by the operators)
+from weftgraph.staging import stage_as_is as stage  # noqa: F401  (used by the operators)
 
 BATCH_ROWS = 2000
 BATCH_BYTES = 16 << 20

@@ -17,7 +17,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftgraph.staging import stage
+from weftgraph.staging import stage_as_is as stage
 
 SLOTS = 4096
 SHARDS = 8
