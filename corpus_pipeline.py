@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import near_copies, packing, quality_classifier, toxicity
-from weftgraph.staging import stage_as_is as stage, table
+from weftgraph.staging import stage_as_is as stage, table_as_is as table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,6 +70,18 @@ def test_search_by_posting_lists_equals_a_scan(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_blocks_are_indexed_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(postings, "BLOCK", 16)
+    index = postings.gram_index(nodes(spark, [node(f"f{i}", name=f"n{i}") for i in range(400)]))
+    assert len(index.texts.inputFiles()) > 4 and len(index.lists.inputFiles()) > 4
+    held = {(r.block, r.place): r.text for r in index.texts.collect()}
+    grams = {(at[0], text[i:i + w], at[1]) for at, text in held.items() for w in (1, 2, 3)
+             for i in range(len(text) - w + 1)}
+    rows = index.lists.collect()
+    assert grams == {(r.block, r.gram, int(p)) for r in rows for p in postings.decode(bytes(r.gaps))}
+    assert len(grams) == sum(r.n for r in rows)
+
+
 def test_search_of_nothing(spark, tiny):
     assert not collect(Q.search_matches(tiny[0], _ask(spark, "a").limit(0)), "q", "id")
     assert not collect(Q.search_matches(tiny[0].limit(0), _ask(spark, "a", "")), "q", "id")

@@ -37,3 +37,13 @@ def test_small_tables_and_partitions_read_back_whole(spark, monkeypatch):
         assert staged.dtypes == rows.dtypes
         assert staged.filter("part = 1").agg(F.count("*"), F.sum("id")).first() == rows.filter(
             "part = 1").agg(F.count("*"), F.sum("id")).first()
+
+
+def test_given_tables_are_sized_by_their_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "SMALL_FILES", 1 << 10)
+    rows = spark.range(60000).select("id", F.lit("customer").alias("name"))
+    rows.write.parquet(f"{tmp_path}/given.parquet")
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    given, plain = (f(spark, str(tmp_path), "given") for f in (staging.table, staging.table_as_is))
+    assert size(plain) < 60000 * 28 <= size(given)
+    assert given.schema == plain.schema and given.exceptAll(plain).isEmpty() and given.count() == 60000

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.staging import table
+from weftgraph.staging import table_as_is as table
 
 from . import (bpe, fingerprint, html_text, lexical, lm_scoring, merkle, packing,
                quality_classifier, quality_rules, sharding, simhash, statements, toxicity,

@@ -37,7 +37,7 @@ class GramIndex(NamedTuple):
 
 
 def _grams(text: Column) -> list[Column]:
-    """All grams of one, two and three characters, with repeats and null ends, in linear time."""
+    """All grams of one, two and three characters of a query, with repeats and null ends."""
     letters = F.filter(F.split(text, ""), lambda c: c != "")
     levels = [letters]
     for width in range(2, WIDTH + 1):
@@ -71,17 +71,57 @@ def decode(blob: bytes) -> np.ndarray:
     return np.cumsum(np.add.reduceat((raw & 127).astype(np.int64) << 7 * nth, starts))
 
 
+def _block_lists(texts: list[str], places: np.ndarray) -> Iterator[tuple[list[str], np.ndarray, bytes, np.ndarray]]:
+    """(grams, lengths, bytes, byte offsets) of the posting lists of one block, a width at a time.
+
+    ``places`` ascend.  A gram is a number of 21 bits a letter, so a block is sorted, never grouped.
+    """
+    letters = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64)
+    owner, left = np.repeat(places, sizes), np.repeat(np.cumsum(sizes), sizes) - np.arange(len(letters))
+    for width in range(1, WIDTH + 1):
+        starts = np.flatnonzero(left >= width)
+        if not len(starts):
+            return
+        key = np.zeros(len(starts), np.int64)
+        for i in range(width):
+            key = key << 21 | letters[starts + i]
+        order = np.argsort(key, kind="stable")
+        key, values = key[order], owner[starts[order]]
+        new = np.append(True, (key[1:] != key[:-1]) | (values[1:] != values[:-1]))
+        key, values = key[new], values[new]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        grams = ["".join(chr(k >> 21 * i & 0x1FFFFF) for i in reversed(range(width)))
+                 for k in key[first].tolist()]
+        offsets = np.append(first, len(key))
+        out, ends = encode(values, offsets)
+        yield grams, np.diff(offsets), out, ends
+
+
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists of rows sorted by scope, block and place; a block lies in one task."""
+    key, texts, places = None, [], []
+
+    def done() -> Iterator[pa.RecordBatch]:
+        for grams, n, out, ends in _block_lists(texts, np.array(places, np.int64)):
+            gaps = pa.Array.from_buffers(pa.binary(), len(grams), [
+                None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
+            rest = [pa.array([v] * len(grams), pa.string()) for v in key[:-1]]
+            yield pa.RecordBatch.from_arrays(
+                [*rest, pa.array(grams, pa.string()), pa.array([key[-1]] * len(grams), pa.int64()),
+                 pa.array(n, pa.int64()), gaps], [*SCOPE, "gram", "block", "n", "gaps"])
+
     for batch in batches:
-        places = batch.column("places")
-        offsets = places.offsets.to_numpy().astype(np.int64)
-        flat = places.values.to_numpy(zero_copy_only=False).astype(np.int64)
-        out, ends = encode(flat[offsets[0]:offsets[-1]], offsets - offsets[0])
-        gaps = pa.Array.from_buffers(pa.binary(), len(batch), [
-            None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
-        rest = [batch.column(c) for c in (*SCOPE, "gram", "block")]
-        yield pa.RecordBatch.from_arrays(
-            [*rest, pa.array(np.diff(offsets)), gaps], [*SCOPE, "gram", "block", "n", "gaps"])
+        # Bytes that are no UTF-8 have no grams that a query could ask for.
+        raw = batch.column("text").cast(pa.binary()).to_pylist()
+        keys = zip(*(batch.column(c).to_pylist() for c in (*SCOPE, "block")))
+        for at, text, place in zip(keys, raw, batch.column("place").to_pylist()):
+            if at != key:
+                yield from done() if texts else ()
+                key, texts, places = at, [], []
+            texts.append(text.decode("utf-8", "replace"))
+            places.append(place)
+    yield from done() if texts else ()
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,16 +147,19 @@ def gram_index(nodes: DataFrame) -> GramIndex:
     texts = owners.select(*SCOPE, "text").distinct()
     blocks = texts.groupBy(*SCOPE).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     inside = Window.partitionBy(*SCOPE, "block").orderBy("text")
+    # Grams cost far more than the texts that have them: few bytes are dealt to many tasks.
+    spark = nodes.sparkSession
+    tasks = max(4 * spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions")))
     numbered = stage(
         texts.join(blocks, SCOPE)
         .withColumn("block", F.pmod(F.xxhash64("text"), F.col("blocks"))).drop("blocks")
+        .repartition(tasks, *SCOPE, "block")
         .withColumn("place", F.row_number().over(inside).cast("bigint")), "gram-texts")
-    every = F.array_distinct(F.array_compact(F.flatten(F.array(*_grams(F.col("text"))))))
-    places = numbered.select(*SCOPE, "block", "place", F.explode(every).alias("gram")).groupBy(
-        *SCOPE, "gram", "block").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    kinds = {f.name: f.dataType.simpleString() for f in owners.schema}
-    scope = ", ".join(f"{c} {kinds[c]}" for c in SCOPE)
-    lists = places.mapInArrow(_coded, f"{scope}, gram string, block bigint, n bigint, gaps binary")
+    rows = numbered.select(*SCOPE, "block", "place", "text").repartition(
+        tasks, *SCOPE, "block").sortWithinPartitions(*SCOPE, "block", "place")
+    scope = ", ".join(f"{c} string" for c in SCOPE)
+    lists = rows.mapInArrow(_coded, f"{scope}, gram string, block bigint, n bigint, gaps binary")
     return GramIndex(owners, numbered, stage(lists, "gram-lists"))
 
 
@@ -150,7 +193,8 @@ def matches(index: GramIndex, asked: DataFrame) -> DataFrame:
     places = met.mapInArrow(
         _met, f"{scope}, q string, block bigint, place array<bigint>"
     ).withColumn("place", F.explode("place"))
-    found = places.join(index.texts, [*SCOPE, "block", "place"]).filter(
+    # A place takes a byte in a list and a row here, so estimates of its size are far too low to broadcast.
+    found = places.hint("merge").join(index.texts, [*SCOPE, "block", "place"]).filter(
         F.col("text").contains(F.col("q"))).select(*SCOPE, "text", "q")
     return found.join(index.owners, [*SCOPE, "text"]).select(
         *SCOPE, *NODE, "q").distinct()
